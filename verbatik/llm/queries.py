@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm import packing, simhash
+from verbatik.llm import knn_quality, langid, packing, quality_rules, simhash
+from verbatik.llm.common import remainder
 
 #: Vocabulary file of op5, by name among the installed public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -31,9 +32,34 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), 2048)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = knn_quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    out = knn_quality.score(docs, model)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    predicted = (F.col("score") >= knn_quality.THRESHOLD).cast("int")
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.assess(docs, trusted).drop("text")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.dictionaries(docs, remainder("doc_id", 3) != 1))
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
