@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm import knn_quality, langid, packing, quality_rules, simhash, suffix
+from verbatik.llm import ann, knn_quality, langid, packing, quality_rules, simhash, suffix
 from verbatik.llm.common import remainder
 
 #: Vocabulary file of op5, by name among the installed public tokenizers.
@@ -51,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, trusted).drop("text")
 
 
+def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.dictionaries(docs, remainder("doc_id", 3) != 1))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_language_id": op10_language_id,
 }
 
