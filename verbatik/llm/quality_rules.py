@@ -4,12 +4,14 @@ Everything on the main path is DataFrame expressions. The n-grams are the last t
 of each word and the last two of each pair of neighbours: few enough kinds that a small trusted
 set covers them, so that the ratio tells junk from prose rather than labelled from unlabelled.
 They are hashed into BUCKETS buckets; the multinomials over buckets are counted over all trusted
-documents and over all documents. A document's verdict is its mean log ratio against a fixed
+documents (a bounded sample of labelled ones) and over all documents. A document's verdict is its mean log ratio against a fixed
 threshold.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from verbatik.llm.common import SPACE
 BUCKETS = 1 << 15
 #: Mean log ratio (nats an n-gram) below which a document is rejected.
 THRESHOLD = -0.25
+#: Trusted ids that the target is counted over.
+TRUSTED_ROWS = 50_000
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
@@ -47,30 +51,32 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Column bucket and n: counts of n-grams over all rows, combined before the shuffle."""
-    tails = _with_tails(docs.select(words(F.col(text_col)).alias("_w")))
-    grams = tails.select(F.explode_outer(F.transform(_grams(), _bucket)).alias("bucket"))
-    # explode() would add a filter on the array's size, pushed down with all that makes the array
-    return grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """Column id: ids whose every label says quality 1, at most `rows` of them, the first by hash."""
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
+    return good.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> list[float]:
-    """log(target / corpus) of each bucket; at most BUCKETS rows reach the driver from each side."""
-    import math
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns bucket, corpus, target: n-grams over all rows and over those of trusted ids.
 
-    sides = []
-    for df in (trusted, docs):
-        counts = dict(bucket_counts(df, text_col).collect())
-        total = math.log(sum(counts.values()) + SMOOTHING * BUCKETS)
-        sides.append([math.log(counts.get(b, 0) + SMOOTHING) - total for b in range(BUCKETS)])
-    return [t - r for t, r in zip(*sides, strict=True)]
+    One scan; the trusted ids are bounded and broadcast, and counts are combined before the shuffle.
+    """
+    flags = F.broadcast(trusted.select(F.col("id").alias("_id"), F.lit(1).alias("_good")).distinct())
+    marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).join(flags, "_id", "left")
+    grams = _with_tails(marked).select("_good", F.explode_outer(F.transform(_grams(), _bucket)).alias("bucket"))
+    # explode() would add a filter on the array's size, pushed down with all that makes the array
+    return grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("corpus"), F.count("_good").alias("target"))
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose label says quality 1 (none says 0)."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    """log(target / corpus) of each bucket; at most BUCKETS rows reach the driver."""
+    counts = {r.bucket: (r.target, r.corpus) for r in bucket_counts(docs, trusted, id_col, text_col).collect()}
+    sides = []
+    for side in range(2):
+        total = math.log(sum(c[side] for c in counts.values()) + SMOOTHING * BUCKETS)
+        sides.append([math.log(counts.get(b, (0, 0))[side] + SMOOTHING) - total for b in range(BUCKETS)])
+    return [t - r for t, r in zip(*sides, strict=True)]
 
 
 def profile(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -100,15 +106,15 @@ def profile(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_w", "_l", "_h", "_x", "_s", "_p")
 
 
-def assess(docs: DataFrame, trusted: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the columns of profile(), llr (mean log ratio of its n-grams) and kept.
 
-    trusted: rows of the target, with the same text column. kept is false if base_failed, else
+    trusted: the target's ids (trusted_ids()), few enough to broadcast. kept is false if base_failed, else
     llr >= threshold. A text without words has llr 0. With no trusted rows the target is uniform.
     Rows are judged one by one: repeats get equal verdicts, other columns (also of clashing names)
     stay as they are, but a column with a result's name is replaced by it.
     """
-    ratios = ",".join(f"{x:.4f}" for x in log_ratios(docs, trusted, text_col))
+    ratios = ",".join(f"{x:.4f}" for x in log_ratios(docs, trusted, id_col, text_col))
     weights = F.split(F.lit(ratios), ",").cast("array<float>")
     both = profile(docs, text_col)
     total = F.aggregate(_grams(), F.lit(0.0), lambda a, h: a + F.get(weights, _bucket(h)))

@@ -52,8 +52,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trusted = quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.assess(docs, trusted).drop("text")
+    return quality_rules.assess(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels"))).drop("text")
 
 
 def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
