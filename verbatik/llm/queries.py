@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm import ann, knn_quality, langid, packing, quality_rules, simhash, suffix, warc
+from verbatik.llm import ann, knn_quality, langid, licenses, packing, quality_rules, sampling, simhash, suffix, warc
 from verbatik.llm.common import remainder
 
 #: Vocabulary file of op5, by name among the installed public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+#: Model file of op4.
+SAMPLING_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return sampling.sample(turns, tokenizer_path(SAMPLING_MODEL), ["conv_id", "turn"])
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), 2048)
 
@@ -55,6 +62,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels"))).drop("text")
 
 
+def file_paths(docs: DataFrame) -> DataFrame:
+    """documents as a tree of files: source/group/id, the first of each group being its licence file."""
+    group = F.floor(F.col("doc_id") / 40).cast("bigint")
+    name = F.when(F.col("doc_id") % 40 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.withColumn("path", F.concat_ws("/", "source", (group % 32).cast("string"), group.cast("string"), name))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_tree(file_paths(table(spark, sf_dir, "documents")), carry=("doc_id",))
+
+
 def op9_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -70,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
+    "op4_sampled_segmentations": op4_sampled_segmentations,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_multiprobe_lsh": op9_multiprobe_lsh,
     "op10_language_id": op10_language_id,
 }

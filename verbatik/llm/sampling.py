@@ -213,7 +213,7 @@ def sample(df: DataFrame, model_path: str, keys: list[str], text_col: str = "tex
     columns are ignored.
     """
     rows = df.select(*[F.col(c) for c in keys], F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in keys], F.lit(str(seed))).alias("_key"), F.col(text_col).alias("_t"))
-    schema = T.StructType([rows.schema[c] for c in keys]).add("sample", "int").add("ids", T.ArrayType(T.IntegerType())).add("log_prob", "double").add("inclusion", "double")
+    schema = T.StructType([rows.schema[c] for c in keys]).add("sample", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())).add("log_prob", "double").add("inclusion", "double")
 
     def run(batches):
         for b in batches:
