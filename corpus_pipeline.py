@@ -3,14 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verbatik.llm import packing, queries, simhash
-from verbatik.llm.common import materialize
+from verbatik.llm import knn_quality, packing, quality_rules, queries, simhash, suffix
+from verbatik.llm.common import materialize, remainder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    trusted = quality_rules.trusted_ids(queries.table(spark, sf_dir, "labels"))
+    return quality_rules.assess(docs, trusted).where("kept").select(*COLUMNS)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good; it learns from the labelled rows that op6 learns from."""
+    model = knn_quality.fit(docs, queries.table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    scored = knn_quality.score(docs, model, carry=COLUMNS[1:])
+    return scored.where(F.col("score") >= knn_quality.THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes or more that occur elsewhere; n_chars is counted anew.
+
+    A character that a cut runs through goes too. A document of which nothing is left stays, empty.
+    """
+    out = suffix.remove_repeats(docs, carry=("lang", "source"))
+    text = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +45,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
     ("simhash_near_dedup", near_dedup),
+    ("suffix_dedup", repeats),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that the space and the votes are learned from; chosen by hash of the id.
 SAMPLE_ROWS = 4096
@@ -143,17 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows: int = SAMP
     return train(counts, np.array([r[1] for r in rows_]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id and score (0 to 1) for every row.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns doc_id, those named in `carry`, and score (0 to 1) for every row.
 
     Null and empty texts get the sample's share of good labels; repeated rows get equal scores;
     other columns are ignored. The model is a broadcast variable of bounded size.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    names = ["doc_id", *(f"_c{i}" for i in range(len(carry)))]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(shared.value.score(b.column("_t").to_pylist()), pa.float64())], [*names, "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")
+    schema = T.StructType([rows.schema[c] for c in names]).add("score", T.DoubleType())
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
