@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verbatik.functions import text as tx
+from verbatik.plans.fence import fence
 
 #: Fixed values of the merge rule: a joined segment's length, a short segment, a short text, a short gap.
 MAX_MERGED_S = 8.0
@@ -73,7 +74,7 @@ def remove_repeated_words(s: DataFrame, copies: int = COPIES) -> DataFrame:
     out = out.withColumn("_r", F.when(F.size("_o") > 0, keep))
     out = out.withColumn("n_words_removed", F.when(F.col("_r").isNull(), 0).otherwise(F.size("_w") - F.size("_r")))
     out = out.withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.array_join("_r", " ")))
-    return out.drop("_w", "_k", "_s", "_o", "_r")
+    return fence(out.drop("_w", "_k", "_s", "_o", "_r"))
 
 
 _EDGE = " .!?,:;"
@@ -108,13 +109,13 @@ def remove_word_runs(s: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["t", "n"])
 
     out = s.withColumn("_r", F.arrow_udf(run, kind)(F.col("text")))
-    return drop_empty(out.withColumn("text", F.col("_r.t")).withColumn("n_runs_removed", F.col("_r.n")).drop("_r"))
+    return drop_empty(fence(out.withColumn("text", F.col("_r.t")).withColumn("n_runs_removed", F.col("_r.n")).drop("_r")))
 
 
 def remove_char_patterns(s: DataFrame) -> DataFrame:
     """Patterns of characters that repeat five times or more go; emptied segments go."""
     text = F.when(tx.has_char_pattern(F.col("text")), tx.remove_char_patterns(F.col("text"))).otherwise(F.col("text"))
-    return drop_empty(s.withColumn("text", text))
+    return drop_empty(fence(s.withColumn("text", text)))
 
 
 def should_merge(start: Column, end: Column, text: Column, next_start: Column, next_end: Column) -> Column:
@@ -212,32 +213,29 @@ def merge_fixpoint(s: DataFrame) -> DataFrame:
     return single.union(lists.select("transcript_id", "l").mapInArrow(run, schema))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with their marks; a lone » joins the one before; a leading » stays on the first.
+def with_sentences(s: DataFrame) -> DataFrame:
+    """Adds sentences (with their marks) and quotes (a » stands in the text but at its start).
 
-    What follows the last mark is left out.
+    A lone » joins the sentence before; a leading » stays on the first; what follows the last mark
+    is left out. Each step is a column of its own, so that none is worked out twice.
     """
-    bare = tx.strip(text)
-    quoted = F.startswith(bare, F.lit("»"))
-    body = F.when(quoted, tx.strip(F.substring(bare, 2, 2**31 - 1))).otherwise(bare)
-    parts = F.filter(F.transform(F.regexp_extract_all(body, F.lit("([^.!?»]*[.!?»])"), 1), tx.strip), lambda x: x != "")
-    none = F.array().cast("array<string>")
+    out = s.withColumn("_bare", tx.strip(F.col("text"))).withColumn("_quoted", F.startswith("_bare", F.lit("»")))
+    out = out.withColumn("_body", F.when(F.col("_quoted"), tx.strip(F.substring("_bare", 2, 2**31 - 1))).otherwise(F.col("_bare")))
+    # a cut after each mark, found without trying every start of a long text that has none
+    cut = F.filter(F.split("_body", "(?<=[.!?»])"), lambda x: F.contains(F.lit(".!?»"), F.right(x, F.lit(1))) & (x != ""))
+    out = out.withColumn("quotes", F.contains("_body", F.lit("»"))).withColumn("_parts", F.filter(F.transform(cut, tx.strip), lambda x: x != ""))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" »"))))
         return F.when(x != "»", F.concat(acc, F.array(x))).when(F.size(acc) > 0, last).otherwise(acc)
 
     # folding copies the list at each step, so it is kept to texts that have a lone mark
-    found = F.when(F.array_contains(parts, "»"), F.aggregate(parts, none, step)).otherwise(parts)
-    first = F.when(quoted, F.lit("» ")).otherwise(F.lit(""))
-    return F.transform(found, lambda x, i: F.when(i == 0, F.concat(first, x)).otherwise(x))
-
-
-def should_split(text: Column, parts: Column) -> Column:
-    bare = tx.strip(text)
-    body = F.when(F.startswith(bare, F.lit("»")), F.substring(bare, 2, 2**31 - 1)).otherwise(bare)
-    long = F.forall(parts, lambda x: tx.word_count(x) > LONG_SENTENCE_WORDS)
-    return (F.size(parts) > 1) & (long | (F.contains(body, F.lit("»")) & (F.size(parts) > 2)))
+    folded = F.aggregate("_parts", F.array().cast("array<string>"), step)
+    out = out.withColumn("_found", F.when(F.array_contains("_parts", "»"), folded).otherwise(F.col("_parts")))
+    first = F.concat(F.lit("» "), F.element_at("_found", 1))
+    marked = F.concat(F.array(first), F.slice("_found", 2, 2**31 - 1))
+    out = out.withColumn("sentences", F.when(F.col("_quoted") & (F.size("_found") > 0), marked).otherwise(F.col("_found")))
+    return fence(out.drop("_bare", "_quoted", "_body", "_parts", "_found"))
 
 
 def split_blocks(s: DataFrame) -> DataFrame:
@@ -246,9 +244,11 @@ def split_blocks(s: DataFrame) -> DataFrame:
     Adds part (from 0) and n_parts. Part i has id + i * 0.1, and a leading blank if i > 0.
     """
     keep = [c for c in s.columns if c not in ("id", "start_s", "end_s", "text")]
-    out = s.withColumn("_s", sentences(F.col("text")))
-    out = out.withColumn("_do", should_split(F.col("text"), F.col("_s")))
-    out = out.withColumn("_p", F.when(F.col("_do"), F.col("_s")).otherwise(F.array("text"))).withColumn("n_parts", F.size("_p"))
+    long = F.forall("sentences", lambda x: tx.word_count(x) > LONG_SENTENCE_WORDS)
+    n = F.size("sentences")
+    out = with_sentences(s).withColumn("_do", (n > 1) & (long | (F.col("quotes") & (n > 2))))
+    out = out.withColumn("_p", F.when(F.col("_do"), F.col("sentences")).otherwise(F.array("text"))).withColumn("n_parts", F.size("_p"))
+    out = fence(out.drop("sentences", "quotes"))
     out = out.select(*keep, "id", "start_s", "end_s", "_do", "n_parts", F.posexplode("_p").alias("part", "_t"))
     span, n, i = F.col("end_s") - F.col("start_s"), F.col("n_parts"), F.col("part")
     start = F.when(F.col("_do"), F.col("start_s") + span * i / n).otherwise(F.col("start_s"))

@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verbatik.functions import text as tx
+from verbatik.plans.fence import fence
 from verbatik.plans.tables import written
 
 CHUNK_TOKENS = 60_000
 OVERLAP_TOKENS = 5_000
 
 
-def chunks(text: Column, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
-    """Array of (index, token_start, token_end, token_count, text): windows of `size` white-space tokens.
+def chunks(df: DataFrame, text_col: str = "text", size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """A row for each window of `size` white-space tokens: text_col's place is taken by index (from 1),
+    token_start, token_end, token_count and text.
 
     Neighbours share `overlap` tokens; the first window that reaches the end is the last. A size of
     0 gives one window of everything, a text without tokens one empty window.
     """
-    t = tx.words(text)
-    n = F.size(t)
+    rows = df.withColumn("_t", tx.words(F.coalesce(text_col, F.lit("")))).withColumn("_n", F.size("_t"))
+    n = F.col("_n")
     if size <= 0:
-        starts, span = F.array(F.lit(0)), n
+        starts, end = F.array(F.lit(0)), lambda s: n
     else:
         step = max(size - min(max(overlap, 0), size - 1), 1)
         starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
-        span = F.lit(size)
-    part = lambda s, i: F.struct((i + 1).alias("index"), s.alias("token_start"), F.least(s + span, n).alias("token_end"), (F.least(s + span, n) - s).alias("token_count"), F.array_join(F.slice(t, s + 1, span), " ").alias("text"))
-    return F.transform(starts, part)
+        end = lambda s: F.least(s + size, n)
+    # tokens are looked up twice, so they stay a column of their own and aren't split anew in each window
+    part = lambda s, i: F.struct((i + 1).alias("index"), s.alias("token_start"), end(s).alias("token_end"), (end(s) - s).alias("token_count"), F.when(F.size("_t") > 0, F.array_join(F.slice("_t", s + 1, end(s) - s), " ")).otherwise("").alias("text"))
+    rows = fence(rows.withColumn("_c", F.transform(starts, part)).drop("_t", "_n", text_col))
+    return rows.select(*[c for c in rows.columns if c != "_c"], F.inline("_c"))
 
 
 def fallback(text: Column) -> Column:
@@ -54,8 +58,8 @@ def summarize(transcripts: DataFrame, provider: Callable[[str, str], str], size:
     text = F.coalesce("text", F.lit(""))
     rows = transcripts.select("transcript_id", text.alias("text"), (tx.word_count(text) > size).alias("long"))
     short = _ask(rows.where("not long"), provider, "summary", "text", "summary").select("transcript_id", "summary", F.lit("single_pass").alias("strategy"), F.lit(0).alias("chunk_count"), F.lit(0).alias("reduce_passes"))
-    parts = rows.where("long").select("transcript_id", F.explode(chunks(F.col("text"), size, overlap)).alias("c"))
-    asked = _ask(parts.select("transcript_id", "c.index", "c.text"), provider, "chunk", "text", "summary")
+    parts = chunks(rows.where("long").select("transcript_id", "text"), "text", size, overlap)
+    asked = _ask(parts.select("transcript_id", "index", "text"), provider, "chunk", "text", "summary")
     listed = asked.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("index", "summary"))).alias("l"))
     cur = written(listed.select("transcript_id", F.array_join(F.transform("l", lambda x: x["summary"]), "\n\n").alias("summary"), F.lit("map_reduce").alias("strategy"), F.size("l").alias("chunk_count"), F.lit(0).alias("reduce_passes")), "summary")
     for _ in range(max_passes):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verbatik.functions import text as tx
+from verbatik.plans.fence import fence
 
 BATCH_SIZE = 10
 #: Fixed value: the summary's place in a prompt template.
@@ -172,7 +173,7 @@ def validate(df: DataFrame) -> DataFrame:
     bad = F.coalesce(first("_form"), first("_sense"))
     code = F.when(F.col("parsed.error").isNotNull(), F.col("parsed.error")).when(F.col("_count"), "count_mismatch").otherwise(F.col("_bad.e"))
     p = p.withColumn("_bad", bad).withColumn("error_code", code).withColumn("error_pos", F.col("_bad.i"))
-    return p.drop("_count", "_form", "_sense", "_bad")
+    return fence(p.drop("_count", "_form", "_sense", "_bad"))
 
 
 def cached_responses(responses: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from verbatik.operators import punctuation, refine, state, subtitles, summary, t
 from verbatik.sources import segments as sg
 
 WS, W = tx.WS, tx.W
+_LOW, _HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TEMPLATE = "Translate.\n{context}\n---\n{segments}"
 
 
@@ -39,7 +40,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 def translations(spark: SparkSession, d: str) -> DataFrame:
     """Items with a stand-in translation: numbers, copies, blanks and Chinese, by a rule over the index."""
     k = F.pmod(F.col("index") + F.col("transcript_id"), F.lit(7))
-    zh = F.when(k == 0, F.col("fr")).when(k == 1, F.lit("12, 5")).when(k == 2, F.lit("  ")).when(k == 3, F.upper("fr")).otherwise(F.concat(F.lit("译"), F.col("fr")))
+    zh = F.when(k == 0, F.col("fr")).when(k == 1, F.lit("12, 5")).when(k == 2, F.lit("  ")).when(k == 3, F.translate("fr", _LOW, _HIGH)).otherwise(F.concat(F.lit("译"), F.col("fr")))
     return items(spark, d).withColumn("zh", zh)
 
 
@@ -133,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_pass3": q("transcript_id pos start_s end_s text", _merge_k),
     "merge_fixpoint": q("transcript_id pos start_s end_s text", lambda s, d: refine.merge_fixpoint(kept(s, d))),
     "merge_report": lambda s, d: refine.merge_report(kept(s, d)),
-    "split_sentences": lambda s, d: seg(s, d).select("transcript_id", "pos", F.posexplode(refine.sentences(F.col("text"))).alias("i", "sentence")),
+    "split_sentences": lambda s, d: refine.with_sentences(seg(s, d)).select("transcript_id", "pos", F.posexplode("sentences").alias("i", "sentence")),
     "split_emit": q("transcript_id pos part n_parts id start_s end_s text", lambda s, d: refine.split_blocks(seg(s, d))),
     "split_report": lambda s, d: refine.split_report(seg(s, d)),
     "rebuild_text": q("transcript_id text", _transcripts),
@@ -145,7 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batches": lambda s, d: translate.batches(items(s, d)).select("transcript_id", "batch_no", "batch_id", F.size("items").alias("n"), F.element_at("items", 1)["index"].alias("first"), "context", "retry_context"),
     "prompts": lambda s, d: translate.prompts(translate.batches(items(s, d)), TEMPLATE).select("transcript_id", "batch_no", "prompt"),
     "batch_halves": lambda s, d: translate.halves(translate.batches(items(s, d))).select("transcript_id", "batch_id", F.size("items").alias("n")),
-    "overlap_chunks": lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("transcript_id"), F.explode(summary.chunks(F.coalesce("text", F.lit("")), 100, 15)).alias("c")).select("transcript_id", "c.*"),
+    "overlap_chunks": lambda s, d: summary.chunks(table(s, d, "documents").select(F.col("doc_id").alias("transcript_id"), "text"), "text", 100, 15),
     "valid_translation": lambda s, d: translations(s, d).select("transcript_id", "index", translate.is_valid_translation(F.col("zh"), F.col("fr")).alias("valid"), translate.content_type(F.col("zh")).alias("kind")),
     "all_valid": lambda s, d: translate.all_valid(translations(s, d)),
     "response_validate": q("transcript_id batch_no error_code error_pos", lambda s, d: translate.validate(responses(s, d))),
@@ -203,7 +204,7 @@ lines AS (
 ), items AS (
     SELECT transcript_id, n::INTEGER AS n, n AS index, {_STRIP('text')} AS fr FROM rekeyed
 ), trans AS (
-    SELECT *, CASE (index + transcript_id) % 7 WHEN 0 THEN fr WHEN 1 THEN '12, 5' WHEN 2 THEN '  ' WHEN 3 THEN upper(fr) ELSE '译' || fr END AS zh FROM items
+    SELECT *, CASE (index + transcript_id) % 7 WHEN 0 THEN fr WHEN 1 THEN '12, 5' WHEN 2 THEN '  ' WHEN 3 THEN translate(fr, '{_LOW}', '{_HIGH}') ELSE '译' || fr END AS zh FROM items
 )"""
 
 
@@ -240,9 +241,9 @@ def _passes(n: int) -> list[str]:
 _STEPS = "['" + "', '".join(state.STEPS) + "']"
 _EVENTS = f"""ev AS (
     SELECT user_id AS transcript_id, {_STEPS}[event_id % 8 + 1] AS step,
-           ['pending', 'running', 'completed', 'completed', 'completed', 'skipped', 'failed'][event_id % 7 + 1] AS status, ts AS at, event_id AS seq
+           ['pending', 'running', 'completed', 'completed', 'completed', 'skipped', 'failed'][event_id % 7 + 1] AS status, ts, event_id AS seq
     FROM events
-), cur AS (SELECT transcript_id, step, status FROM ev QUALIFY row_number() OVER (PARTITION BY transcript_id, step ORDER BY at DESC, seq DESC) = 1)"""
+), cur AS (SELECT transcript_id, step, status FROM ev QUALIFY row_number() OVER (PARTITION BY transcript_id, step ORDER BY ts DESC, seq DESC) = 1)"""
 _VALID = f"""CASE WHEN b = '' THEN false WHEN regexp_matches(b, '[\\x{{4e00}}-\\x{{9fff}}]') THEN b <> fr WHEN regexp_matches(b, '^[\\p{{Nd}}{WS},.\\-:;]+$') THEN true
     WHEN len({_WORDS('b')}) <= 3 AND lower(b) = lower(fr) THEN true ELSE lower(b) <> lower(fr) END"""
 _KIND = f"""CASE WHEN regexp_matches(b, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'Chinese' WHEN regexp_matches(b, '^[\\p{{Nd}}{WS},.\\-:;]+$') THEN 'Numbers-only'
@@ -339,7 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "resume_point": f"""WITH {_EVENTS}, o AS (SELECT transcript_id, min_by(step, list_position({_STEPS}, step)) AS step FROM cur WHERE status NOT IN ('completed', 'skipped') GROUP BY transcript_id)
         SELECT t.transcript_id, o.step FROM (SELECT DISTINCT transcript_id FROM cur) t LEFT JOIN o USING (transcript_id)""",
     "step_status": f"WITH {_EVENTS} SELECT transcript_id, step, status FROM cur",
-    "batch_status_latest": f"""WITH {_EVENTS}, l AS (SELECT transcript_id, status FROM ev QUALIFY row_number() OVER (PARTITION BY transcript_id, seq % 5 ORDER BY at DESC, seq DESC) = 1)
+    "batch_status_latest": f"""WITH {_EVENTS}, l AS (SELECT transcript_id, status FROM ev QUALIFY row_number() OVER (PARTITION BY transcript_id, seq % 5 ORDER BY ts DESC, seq DESC) = 1)
         SELECT transcript_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM l GROUP BY transcript_id""",
     "url_classify": """SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+') THEN 'url' ELSE 'unsupported' END AS kind,
         CASE page_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'unsupported' END AS file_kind FROM pages""",
