@@ -160,7 +160,7 @@ def links(fps: DataFrame, radius: int = 2, sample: int = PLAN_SAMPLE) -> DataFra
             continue
         base = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         flips = [_mask([b for b in c]) for d in range(t + 1) for c in itertools.combinations(bits, d)]
-        keys = F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f, base=base: base.bitwiseXOR(f)))
+        keys = F.explode(F.array(*[base.bitwiseXOR(F.lit(f)) for f in flips]))
         part = fps.select("fp", F.lit(i).alias("part"), base.alias("base"), keys.alias("key"))
         part = part.select("fp", "part", "key", (F.col("base") == F.col("key")).alias("own"))
         rows = part if rows is None else rows.union(part)
