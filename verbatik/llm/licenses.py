@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 A file's statements (its lines, and the whole of a licence file) are compared with templates.
-Document frequencies are those of the lines of all files. A file without a statement of its own
+Document frequencies are counted over all files. A file without a statement of its own
 takes the licence of the nearest ancestor directory that has a licence file.
 """
 
@@ -13,9 +13,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbatik.llm.common import materialize
+
 #: Cosine from which a statement is taken for a template's.
 THRESHOLD = 0.6
 #: Names of licence files, lower-cased, up to a suffix.
@@ -56,11 +58,11 @@ VOCABULARY = frozenset(t for _, s in TEMPLATES for t in terms(s))
 class Scanner:
     """Templates as unit TF-IDF vectors under the corpus' document frequencies."""
 
-    lines: int
+    files: int
     frequency: dict
 
     def idf(self, term) -> float:
-        return math.log((1 + self.lines) / (1 + self.frequency.get(term, 0))) + 1
+        return math.log((1 + self.files) / (1 + self.frequency.get(term, 0))) + 1
 
     def vector(self, text: str) -> dict:
         v = {t: n * self.idf(t) for t, n in terms(text).items()}
@@ -77,9 +79,7 @@ class Scanner:
             if any(sum(x * x for t, x in v.items() if (t in rest if isinstance(t, str) else rest.issuperset(t))) >= THRESHOLD**2 for _, v in vectors):
                 continue
             common = rest
-        # a wanted word may stand inside a longer one: only a first sieve
-        wanted = re.compile("|".join(sorted(map(re.escape, set(words) - common), key=len, reverse=True)))
-        return vectors, wanted
+        return vectors, frozenset(words) - common
 
     def best(self, statement: str, vectors) -> tuple[str | None, float]:
         v = self.vector(statement)
@@ -89,19 +89,19 @@ class Scanner:
 
 
 def fit(files: DataFrame, text_col: str = "text") -> Scanner:
-    """Line frequencies of the templates' words over all files; at most the vocabulary is collected."""
+    """How many files have each of the templates' terms; at most the vocabulary is collected."""
 
     def run(batches):
-        vocab = VOCABULARY
-        pattern = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted((re.escape(t) for t in vocab if isinstance(t, str)), key=len, reverse=True)) + r")(?![a-z0-9])")
+        words = frozenset(t for t in VOCABULARY if isinstance(t, str))
+        pairs = VOCABULARY - words
         for b in batches:
-            found, lines = Counter(), 0
+            found, files_ = Counter(), 0
             for text in b.column(0).to_pylist():
-                for line in (text or "").lower().split("\n"):
-                    lines += bool(line.strip())
-                    if pattern.search(line):
-                        found.update(t for t in terms(line) if t in vocab)
-            rows = [("", lines), *((t if isinstance(t, str) else " ".join(t), n) for t, n in found.items())]
+                w = _WORD.findall((text or "").lower())
+                files_ += bool(w)
+                found.update(words.intersection(w))
+                found.update(pairs.intersection(zip(w, w[1:], strict=False)))
+            rows = [("", files_), *((t if isinstance(t, str) else " ".join(t), n) for t, n in found.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], ["term", "n"])
 
     counts = files.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -123,8 +123,9 @@ def scan(files: DataFrame, scanner: Scanner, path_col: str = "path", text_col: s
             for text, whole in zip(b.column("_t").to_pylist(), b.column("is_license_file").to_pylist(), strict=True):
                 best: tuple[str | None, float] = (None, 0.0)
                 low = (text or "").lower()
-                if wanted.search(low):
-                    parts = [x for x in low.split("\n") if wanted.search(x)] + ([low] if whole else [])
+                # the sieve: a file, then a line, without a wanted word can't reach the threshold
+                if not wanted.isdisjoint(_WORD.findall(low)):
+                    parts = [x for x in low.split("\n") if not wanted.isdisjoint(_WORD.findall(x))] + ([low] if whole else [])
                     best = max((scanner.best(x, vectors) for x in parts), key=lambda f: (f[1], f[0] or ""))
                 names.append(best[0])
                 sims.append(best[1])
@@ -163,4 +164,5 @@ def scan_tree(files: DataFrame, path_col: str = "path", text_col: str = "text",
     Files of the same path are judged each; ties of similarity go to the last name. Very long texts
     are searched whole. Other columns are ignored; an empty table gives an empty result.
     """
-    return inherit(scan(files, fit(files, text_col), path_col, text_col, carry)).drop("dir")
+    # the scan's narrow result is read three times
+    return inherit(materialize(scan(files, fit(files, text_col), path_col, text_col, carry), "licenses")).drop("dir")
