@@ -419,7 +419,7 @@ def test_license_sieve_loses_nothing():
     for _ in range(3000):
         line = " ".join(rng.choices(words, k=rng.randint(1, 12)))
         if s.best(line, vectors)[0]:
-            assert wanted.search(line)
+            assert not wanted.isdisjoint(licenses._WORD.findall(line.lower()))
 
 
 # ---- op 9 ----
