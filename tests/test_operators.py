@@ -270,3 +270,33 @@ def test_text_functions_match_python(spark):
         bare = "".join(c.split())
         ratio = len(re.findall("[.!?…]", bare.replace("...", "…"))) / len(bare) if bare else 0.0
         assert (r.s, r.n, r.p, r.r) == (c.strip(), len(c.split()), p.strip(), ratio)
+
+
+def _recognizer():
+    def run(path, content):
+        if not content:
+            raise ValueError("empty")
+        return {"text": "Oui.", "segments": [{"id": 0, "start": 0, "end": 1, "text": "Oui.", "tokens": [1]}]}
+
+    return run
+
+
+def test_transcribe(spark):
+    from verbatik.sources import transcribe
+
+    media = spark.createDataFrame([("a.wav", b"x"), ("b.wav", b"")], "path string, content binary")
+    out = transcribe.transcribe(media, _recognizer)
+    got = {r.transcript_id: r for r in out.collect()}
+    assert got["a.wav"].segments[0].asDict() == {"id": 0.0, "start": 0.0, "end": 1.0, "text": "Oui."} and got["b.wav"].error == "ValueError: empty"
+    assert {r.strategy for r in transcribe.metadata(out).collect()} == {"recognized", "failed"}
+
+
+def test_guard(spark, tmp_path):
+    from verbatik.plans import guard
+
+    (tmp_path / "state.json").write_text('{"pipeline_info": {"status": "running"}}')
+    slept = []
+    settings = config.System(min_ram_gb=0, task_check_interval=60, max_wait_time_minutes=2)
+    assert not guard.ready(spark, str(tmp_path), settings, slept.append) and len(slept) == 3
+    (tmp_path / "state.json").write_text('{"pipeline_info": {"status": "completed"}}')
+    assert guard.ready(spark, str(tmp_path), settings, slept.append)
