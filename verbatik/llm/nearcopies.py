@@ -1,0 +1,116 @@
+"""Near copies by the Jaccard similarity of their word shingles.
+
+A 64-bit fingerprint can't tell a similarity of 0.8: such pairs differ in up to 14 bits. So
+candidates are rows with an equal band of ROWS min-hashes among BANDS bands; a pair of similarity
+0.8 has none with a chance of 7e-6. Every candidate is verified by its shingles. In a large bucket
+all are compared with one leader, round by round, and what is linked to a smaller id leaves; when
+buckets are small, or leaders find little more, all pairs of a bucket are compared. No bucket is
+cut or capped.
+"""
+
+from __future__ import annotations
+
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from verbatik.llm.common import materialize
+from verbatik.llm.components import connected_components
+from verbatik.llm.simhash import rows_of_ids
+
+BANDS, ROWS = 30, 5
+#: Buckets of at most so many rows are compared pair by pair at once.
+SMALL = 32
+_FACTORS = np.random.Generator(np.random.Philox(key=1)).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the different word shingles; of fewer words than width, all are one; null or wordless: none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    grams = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words]
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams], dtype="<u8"))
+
+
+def bands(hashes: np.ndarray, chunk: int = 1024) -> list[int]:
+    """Keys of the bands; equal sets have equal keys, the empty set has none."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), chunk):
+        np.minimum(least, (hashes[at : at + chunk, None] * _FACTORS).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """id, number of shingles, digest of them and keys of the bands, from id and t."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column("t").to_pylist()]
+            cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "n", "digest", "keys"])
+
+    return docs.mapInArrow(run, "id bigint, n int, digest binary, keys array<bigint>")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, width).view("<i8") for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return docs.mapInArrow(run, "id bigint, s array<bigint>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose shingles are as similar."""
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    met = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("k"))
+    return met.where(F.col("k") + 1e-9 >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of candidates that stay no two have that similarity, and what goes is linked to a smaller id.
+
+    A link is a pair of at least that similarity; links may go over rows that go too. Equal sets of
+    shingles, and wordless texts, are copies. Ids are bigint and taken to be unique; of repeated rows
+    of an id at most one stays. Rows of null id can't be told apart and all stay.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    sig = materialize(_signatures(rows, width), "near-signatures")
+    first = materialize(sig.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "near-first")
+    keys = sig.join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    left = materialize(keys.join(met, "key", "left_semi"), "near-keys")
+    sets = materialize(_sets(rows.join(left.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id"]), "near-sets")
+    gone, before = None, None
+    for turn in count():
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        most, large = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > SMALL, F.col("c"))), F.lit(0))).first()
+        if most is None:
+            break
+        last = most <= SMALL or (before is not None and large > 0.8 * before)
+        before = large
+        if last:
+            other = left.select("key", F.col("id").alias("_i"), F.col("n").alias("_n"))
+        else:
+            other = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("n"))).alias("_l")).select("key", F.col("_l.id").alias("_i"), F.col("_l.n").alias("_n"))
+        # sets whose sizes differ by more can't be as similar
+        near = (F.col("id") < F.col("_i") if last else F.col("id") != F.col("_i")) & (F.least("n", "_n") + 1e-9 >= similarity * F.greatest("n", "_n"))
+        pairs = left.join(other, "key").where(near).select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct()
+        links = materialize(_similar(pairs, sets, similarity), "near-links")
+        if links.head(1):
+            out = materialize(connected_components(links).where("node != root").select(F.col("node").alias("id")), "near-gone")
+            gone = out if gone is None else gone.union(out)
+            left = materialize(left.join(out, "id", "left_anti"), "near-keys")
+        if last:
+            break
+    if gone is not None:
+        first = first.join(gone, "id", "left_anti")
+    return rows_of_ids(docs, first, id_col, text_col)

@@ -203,7 +203,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     id one stays (the smallest text). Rows of null id can't be told apart and all stay.
     """
     classes = near_duplicates(docs, id_col, text_col, width, radius)
-    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return rows_of_ids(docs, classes.where("doc_id = component_id").select(F.col("doc_id").alias("id")), id_col, text_col)
+
+
+def rows_of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs of each id in ids (of repeated ones that of the smallest text), and all rows of null id."""
+    chosen = ids.select(F.col("id").alias("_id")).distinct()
     w = Window.partitionBy(id_col).orderBy(text_col)
     kept = docs.join(chosen, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_copy", F.row_number().over(w))
     return kept.where("_copy = 1").drop("_copy").union(docs.where(F.col(id_col).isNull()))
