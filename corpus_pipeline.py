@@ -18,8 +18,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good; it learns from the labelled rows that op6 learns from."""
-    model = knn_quality.fit(docs, queries.table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    """Documents that the quality classifier takes for good; it learns from the labelled rows that op6 learns from.
+
+    Those are rows of the whole table: the rules have taken most bad ones out of docs.
+    """
+    model = knn_quality.fit(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     scored = knn_quality.score(docs, model, carry=COLUMNS[1:])
     return scored.where(F.col("score") >= knn_quality.THRESHOLD).select(*COLUMNS)
 

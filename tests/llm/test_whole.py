@@ -42,3 +42,17 @@ def test_near_dedup_keeps_no_pair_of_similarity(spark, monkeypatch):
     near = {i: [j for j in range(len(texts)) if j != i and jaccard(texts[i], texts[j]) >= 0.8] for i in range(len(texts))}
     assert len(plain) >= 12 and all(near[i] for i in range(len(texts)) if i not in plain) and all(i in plain for i in near if not near[i])
     assert nearcopies.keep_one(table(spark, []), "doc_id").count() == 0
+
+
+def test_classifier_learns_from_what_the_rules_rejected(spark, tmp_path):
+    rng = random.Random(5)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(12)).capitalize() + "."
+    junk = lambda: " ".join("".join(rng.choices("#*$%&|<>ABC123", k=rng.randint(2, 9))) for _ in range(60))
+    rows = [(i, " ".join(sentence() for _ in range(8))) for i in range(200)] + [(i, junk()) for i in range(200, 300)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    # 160 good and 60 bad ids are labelled; the rules have rejected all labelled junk
+    labels = [(i, int(i < 200)) for i in (*range(160), *range(200, 260))]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 200 or doc_id >= 260")
+    kept = {r.doc_id for r in corpus_pipeline.classifier(spark, docs, str(tmp_path)).collect()}
+    assert not any(i >= 260 for i in kept) and len(kept) >= 190
