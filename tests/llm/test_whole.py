@@ -1,12 +1,13 @@
 """Operators on cases that a part of the job would miss."""
 
 import random
-from pathlib import Path
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from verbatik.llm import nearcopies  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from verbatik.llm import nearcopies, quality_rules  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -56,3 +57,16 @@ def test_classifier_learns_from_what_the_rules_rejected(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 200 or doc_id >= 260")
     kept = {r.doc_id for r in corpus_pipeline.classifier(spark, docs, str(tmp_path)).collect()}
     assert not any(i >= 260 for i in kept) and len(kept) >= 190
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_target_covers_every_trusted_document(spark, threshold):
+    n = 60_000
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    texts = spark.range(n + 1000).select(F.col("id").alias("doc_id"), F.lit("aaa bbb").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        counts = quality_rules.bucket_counts(texts, quality_rules.trusted_ids(labels)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.target for r in counts) == 3 * n and sum(r.corpus for r in counts) == 3 * (n + 1000)

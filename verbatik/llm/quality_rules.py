@@ -4,7 +4,7 @@ Everything on the main path is DataFrame expressions. The n-grams are the last t
 of each word and the last two of each pair of neighbours: few enough kinds that a small trusted
 set covers them, so that the ratio tells junk from prose rather than labelled from unlabelled.
 They are hashed into BUCKETS buckets; the multinomials over buckets are counted over all trusted
-documents (a bounded sample of labelled ones) and over all documents. A document's verdict is its mean log ratio against a fixed
+documents and over all documents. A document's verdict is its mean log ratio against a fixed
 threshold.
 """
 
@@ -21,8 +21,6 @@ from verbatik.llm.common import SPACE
 BUCKETS = 1 << 15
 #: Mean log ratio (nats an n-gram) below which a document is rejected.
 THRESHOLD = -0.25
-#: Trusted ids that the target is counted over.
-TRUSTED_ROWS = 50_000
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
@@ -51,22 +49,23 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """Column id: ids whose every label says quality 1, at most `rows` of them, the first by hash."""
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
-    return good.orderBy(F.xxhash64("id"), "id").limit(rows)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Column id: all ids whose every label says quality 1."""
+    return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns bucket, corpus, target: n-grams over all rows and over those of trusted ids.
 
-    One scan; the trusted ids are bounded and broadcast, and counts are combined before the shuffle.
+    One scan; counts are combined before the shuffle. Few trusted ids are broadcast; when there are too
+    many, the join shuffles ids and buckets (two bytes an n-gram), not texts.
     """
-    flags = F.broadcast(trusted.select(F.col("id").alias("_id"), F.lit(1).alias("_good")).distinct())
-    marked = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).join(flags, "_id", "left")
-    grams = _with_tails(marked).select("_good", F.explode_outer(F.transform(_grams(), _bucket)).alias("bucket"))
+    flags = trusted.select(F.col("id").alias("_id"), F.lit(1).alias("_good")).distinct()
+    tails = _with_tails(docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")))
+    marked = tails.select("_id", F.transform(_grams(), _bucket).cast("array<smallint>").alias("_b")).join(flags, "_id", "left")
+    grams = marked.select("_good", F.explode_outer("_b").alias("bucket"))
     # explode() would add a filter on the array's size, pushed down with all that makes the array
-    return grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("corpus"), F.count("_good").alias("target"))
+    return grams.where("bucket is not null").groupBy(F.col("bucket").cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("corpus"), F.count("_good").alias("target"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
@@ -109,7 +108,7 @@ def profile(df: DataFrame, text_col: str = "text") -> DataFrame:
 def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the columns of profile(), llr (mean log ratio of its n-grams) and kept.
 
-    trusted: the target's ids (trusted_ids()), few enough to broadcast. kept is false if base_failed, else
+    trusted: the target's ids (trusted_ids()), any number. kept is false if base_failed, else
     llr >= threshold. A text without words has llr 0. With no trusted rows the target is uniform.
     Rows are judged one by one: repeats get equal verdicts, other columns (also of clashing names)
     stay as they are, but a column with a result's name is replaced by it.
