@@ -40,8 +40,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return sampling.sample(turns, tokenizer_path(SAMPLING_MODEL), ["conv_id", "turn"])
+    return sampling.sample(table(spark, sf_dir, "documents"), tokenizer_path(SAMPLING_MODEL), ["doc_id"])
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
