@@ -7,7 +7,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import nearcopies, quality_rules  # noqa: E402
+from verbatik.llm import licenses, nearcopies, quality_rules, queries  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -70,3 +70,23 @@ def test_target_covers_every_trusted_document(spark, threshold):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(r.target for r in counts) == 3 * n and sum(r.corpus for r in counts) == 3 * (n + 1000)
+
+
+def test_op4_samples_documents(spark):
+    got = queries.op4_sampled_segmentations(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "sample", "ids", "log_prob", "inclusion"]
+
+
+def test_statements_within_longer_lines(spark):
+    rng = random.Random(4)
+    files = [(f"d/{i}.txt", " ".join(prose(rng, 40)) + " the of and to in was") for i in range(300)]
+    files += [
+        ("a/1", "Copyright (c) 2020 Jane Doe. Released under the MIT License."), ("a/2", "Copyright 2021 Acme Inc. All rights reserved."), ("a/3", "Released under the MIT License. The of and to in was."),
+        ("a/4", " ".join(prose(rng, 300)) + " licensed under the Apache License, Version 2.0 " + " ".join(prose(rng, 300))), ("a/5", "words before\nLicensed under the Apache\nLicense, Version 2.0\nwords after"), ("a/6", "the version of the work in the source was free"),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: r.own_license for r in licenses.scan_tree(df).collect()}
+    assert [got[f"a/{i}"] for i in range(1, 7)] == ["MIT", "All-Rights-Reserved", "MIT", "Apache-2.0", "Apache-2.0", None]
+    assert not any(got[f"d/{i}.txt"] for i in range(300))
+    scanner = licenses.fit(df)
+    assert scanner.frequency["was"] == 302 and scanner.frequency["copyright"] == 2

@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's statements (its lines, and the whole of a licence file) are compared with templates.
-Document frequencies are counted over all files. A file without a statement of its own
+A file's statements are compared with templates: its lines, their sentences, its windows of as many
+words as a template has (also over line breaks), and the whole of a licence file. Document
+frequencies are counted over all files, for the templates' terms and then for all terms of the
+statements that could match. A file without a statement of its own
 takes the licence of the nearest ancestor directory that has a licence file.
 """
 
@@ -42,12 +44,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 )
+_SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
+#: Windows whose cosine a worker remembers.
+CACHE_WINDOWS = 100_000
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
 def terms(text: str) -> Counter:
     """Words and pairs of neighbouring words, lower-cased."""
-    w = _WORD.findall(text.lower())
+    return _terms(_WORD.findall(text.lower()))
+
+
+def _terms(w) -> Counter:
     return Counter(w) + Counter(zip(w, w[1:], strict=False))
 
 
@@ -65,7 +73,10 @@ class Scanner:
         return math.log((1 + self.files) / (1 + self.frequency.get(term, 0))) + 1
 
     def vector(self, text: str) -> dict:
-        v = {t: n * self.idf(t) for t, n in terms(text).items()}
+        return self._unit(terms(text))
+
+    def _unit(self, counts: Counter) -> dict:
+        v = {t: n * self.idf(t) for t, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
@@ -81,6 +92,38 @@ class Scanner:
             common = rest
         return vectors, frozenset(words) - common
 
+    def statements(self, low: str, whole: bool, vectors, wanted) -> tuple[list[str], list[tuple[int, tuple[str, ...]]]]:
+        """Of a lower-cased text: parts to compare with all templates, and windows with the number of the template of their length.
+
+        The sieve: a part, or a window, without a wanted word (of its template) can't reach the threshold.
+        """
+        w = _WORD.findall(low)
+        at = [i for i, x in enumerate(w) if x in wanted]
+        if not at:
+            return [], []
+        lines = [x for x in low.split("\n") if not wanted.isdisjoint(_WORD.findall(x))]
+        parts = lines + [p for x in lines for p in _SENTENCE.split(x) if p != x and not wanted.isdisjoint(_WORD.findall(p))] + ([low] if whole else [])
+        windows = []
+        for k, ((_, template), (_, v)) in enumerate(zip(TEMPLATES, vectors, strict=True)):
+            n = len(_WORD.findall(template.lower()))
+            starts = {i for p in at if w[p] in v for i in range(max(0, p - n + 1), max(0, min(p, len(w) - n)) + 1)}
+            windows += [(k, tuple(w[i : i + n])) for i in starts]
+        return parts, windows
+
+    def license(self, low: str, whole: bool, vectors, wanted, cache: dict) -> tuple[str | None, float]:
+        """The licence of a lower-cased text, and its similarity."""
+        parts, windows = self.statements(low, whole, vectors, wanted)
+        found: list[tuple[str | None, float]] = [(None, 0.0), *(self.best(x, vectors) for x in parts)]
+        for k, window in windows:
+            if (cos := cache.get((k, window))) is None:
+                if len(cache) >= CACHE_WINDOWS:
+                    cache.clear()
+                v = self._unit(_terms(window))
+                cos = cache[k, window] = min(1.0, sum(x * vectors[k][1].get(t, 0.0) for t, x in v.items()))
+            if cos >= THRESHOLD:
+                found.append((vectors[k][0], cos))
+        return max(found, key=lambda f: (f[1], f[0] or ""))
+
     def best(self, statement: str, vectors) -> tuple[str | None, float]:
         v = self.vector(statement)
         found = [(sum(x * u.get(t, 0.0) for t, x in v.items()), name) for name, u in vectors]
@@ -88,12 +131,13 @@ class Scanner:
         return (name, min(1.0, cos)) if cos >= THRESHOLD else (None, 0.0)
 
 
-def fit(files: DataFrame, text_col: str = "text") -> Scanner:
-    """How many files have each of the templates' terms; at most the vocabulary is collected."""
+def _frequencies(files: DataFrame, text_col: str, vocabulary: frozenset) -> tuple[int, dict]:
+    """How many files have words, and how many have each term of the vocabulary."""
+    shared = files.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        words = frozenset(t for t in VOCABULARY if isinstance(t, str))
-        pairs = VOCABULARY - words
+        words = frozenset(t for t in shared.value if isinstance(t, str))
+        pairs = shared.value - words
         for b in batches:
             found, files_ = Counter(), 0
             for text in b.column(0).to_pylist():
@@ -106,7 +150,36 @@ def fit(files: DataFrame, text_col: str = "text") -> Scanner:
 
     counts = files.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n = {r.term: r.n for r in counts}
-    return Scanner(n.pop("", 0), {tuple(t.split(" ")) if " " in t else t: x for t, x in n.items()})
+    return n.pop("", 0), {_term(t): x for t, x in n.items()}
+
+
+def _term(t: str):
+    return tuple(t.split(" ")) if " " in t else t
+
+
+def fit(files: DataFrame, path_col: str = "path", text_col: str = "text") -> Scanner:
+    """Document frequencies of the templates' terms, and of all terms of statements that could match.
+
+    The second is collected: the different terms near words that only licence statements have.
+    """
+    first = Scanner(*_frequencies(files, text_col, VOCABULARY))
+    name = F.element_at(F.split(F.coalesce(F.col(path_col), F.lit("")), "/"), -1)
+
+    def run(batches):
+        vectors, wanted = first.prepared()
+        for b in batches:
+            found: set = set()
+            for text, whole in zip(b.column("t").to_pylist(), b.column("whole").to_pylist(), strict=True):
+                parts, windows = first.statements((text or "").lower(), whole, vectors, wanted)
+                for x in parts:
+                    found.update(terms(x))
+                for x in {x for _, x in windows}:
+                    found.update(_terms(x))
+            yield pa.RecordBatch.from_arrays([pa.array([t if isinstance(t, str) else " ".join(t) for t in found], pa.string())], ["term"])
+
+    rows = files.select(F.col(text_col).alias("t"), name.rlike(LICENSE_FILE).alias("whole"))
+    near = frozenset(_term(r.term) for r in rows.mapInArrow(run, "term string").distinct().collect()) - VOCABULARY
+    return Scanner(first.files, first.frequency | (_frequencies(files, text_col, near)[1] if near else {}))
 
 
 def scan(files: DataFrame, scanner: Scanner, path_col: str = "path", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -114,19 +187,16 @@ def scan(files: DataFrame, scanner: Scanner, path_col: str = "path", text_col: s
     cols = [F.col(path_col).alias("path"), F.col(text_col).alias("_t"), *carry]
     rows = files.select(*cols).withColumn("_name", F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
     rows = rows.withColumn("is_license_file", F.col("_name").rlike(LICENSE_FILE))
+    shared = files.sparkSession.sparkContext.broadcast(scanner)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("path", *carry, "is_license_file").schema)
 
     def run(batches):
-        vectors, wanted = scanner.prepared()
+        scanner = shared.value
+        (vectors, wanted), cache = scanner.prepared(), {}
         for b in batches:
             names, sims = [], []
             for text, whole in zip(b.column("_t").to_pylist(), b.column("is_license_file").to_pylist(), strict=True):
-                best: tuple[str | None, float] = (None, 0.0)
-                low = (text or "").lower()
-                # the sieve: a file, then a line, without a wanted word can't reach the threshold
-                if not wanted.isdisjoint(_WORD.findall(low)):
-                    parts = [x for x in low.split("\n") if not wanted.isdisjoint(_WORD.findall(x))] + ([low] if whole else [])
-                    best = max((scanner.best(x, vectors) for x in parts), key=lambda f: (f[1], f[0] or ""))
+                best = scanner.license((text or "").lower(), whole, vectors, wanted, cache)
                 names.append(best[0])
                 sims.append(best[1])
             keep = ["path", *carry, "is_license_file"]
@@ -165,4 +235,4 @@ def scan_tree(files: DataFrame, path_col: str = "path", text_col: str = "text",
     are searched whole. Other columns are ignored; an empty table gives an empty result.
     """
     # the scan's narrow result is read three times
-    return inherit(materialize(scan(files, fit(files, text_col), path_col, text_col, carry), "licenses")).drop("dir")
+    return inherit(materialize(scan(files, fit(files, path_col, text_col), path_col, text_col, carry), "licenses")).drop("dir")
