@@ -450,10 +450,32 @@ def test_neighbours(spark):
     assert [r.vec_id for r in ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()].__len__() == 2
 
 
-def test_probe_order():
-    slots = ann.probe_slots(np.array([0.5, 0.1]), 1.0, 0.99)
-    assert slots[0].tolist() == [0, 0] or slots[0].tolist() == [0, -1]
-    assert len({tuple(s) for s in slots.tolist()}) == len(slots)
+def test_probes_are_the_most_successful_buckets():
+    """Against all buckets of three projections: those visited are the first by success, and reach the target."""
+    f, distance = np.array([[0.5, 0.1, 7.3]]), 1.3
+    slots, p = ann._slot_chances(f, distance)
+    every = sorted(((p[0, 0, a] * p[0, 1, b] * p[0, 2, c], (slots[0, 0, a], slots[0, 1, b], slots[0, 2, c])) for a in range(p.shape[2]) for b in range(p.shape[2]) for c in range(p.shape[2])), reverse=True)
+    for target in (0.1, 0.6, 0.999):
+        row, keys = ann.probes(f, np.array([4]), distance, target)
+        first = np.array([x[1] for x in every[: len(keys)]])
+        assert not row.any() and sum(x[0] for x in every[: len(keys)]) >= target
+        places = np.zeros((len(first), 5, 3))
+        places[:, 4] = first + 0.5
+        assert set(keys.tolist()) == set(ann.bucket_keys(places)[:, 4].tolist())
+    with pytest.raises(ValueError):
+        ann.probes(f, np.array([0]), distance, 1.0)
+
+
+def test_tolerance_grows_with_the_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8)) * 1e9
+    x[1:120] = x[0] * (1 + 1e-15 * rng.standard_normal((119, 1)))
+    index = ann.Index(8, float(np.linalg.norm(x, axis=1).max()), 1.0, 4, 3, 0.5)
+    shard = ann.Shard(index, np.arange(300), x)
+    ids, score = shard.search(x[:1], 10)[0]
+    at = shard.candidates(x[:1], 10)[0]
+    exact = ann.dots(x[at], x[0])
+    assert ids.tolist() == at[np.lexsort((at, -exact))[:10]].tolist() and score.tolist() == sorted(exact, reverse=True)[:10]
 
 
 # ---- components ----
