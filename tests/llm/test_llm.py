@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -195,15 +196,20 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def lattice_brute(s, text):
-    lat = s.lattice(text)
-    ptr = np.concatenate(([0], np.cumsum(lat.lengths)))
+    """All segmentations of a text by its pieces, and their log probabilities."""
+    norm = s.model.normalize(text)
 
-    def ways(node):
-        if not node:
-            return [((), 0.0)]
-        return [(p + lat.pieces[e], q + lat.log_p[e]) for e in range(ptr[node - 1], ptr[node]) for p, q in ways(lat.begin[e])]
+    def ways(at):
+        if at == len(norm):
+            return [((), 1.0)]
+        out = []
+        for end in range(at + 1, len(norm) + 1):
+            hit = s.pieces.get(norm[at:end]) or (s._fallback(norm[at]) if end == at + 1 else None)
+            out += [(hit[0] + ids, hit[1] * p) for ids, p in ways(end)] if hit else []
+        return out
 
-    return dict(ways(len(lat.lengths)))
+    found = ways(0)
+    return {ids: np.log(p / sum(x for _, x in found)) for ids, p in found}
 
 
 def test_sampling_is_unbiased_and_distinct():
@@ -220,7 +226,16 @@ def test_sampling_is_unbiased_and_distinct():
             weighted[tuple(ids)] += np.exp(log_p) / inclusion
     for ids, log_p in p.items():
         assert abs(first[ids] / n - np.exp(log_p)) < 0.04 and abs(weighted[ids] / n - np.exp(log_p)) < 0.04
-    every = s.sample("the cat", 100, b"k")
+    later = Counter(tuple(s.sample("the cat", 2, b"x%d" % i)[1][0]) for i in range(n))
+    p_all = {ids: np.exp(x) for ids, x in p.items()}
+    for ids, x in p_all.items():  # the second of two draws without replacement
+        assert abs(later[ids] / n - sum(y * x / (1 - y) for other, y in p_all.items() if other != ids)) < 0.04
+    for text in ("a,b! é", "😀x  .", "1990s-"):  # characters without a piece, cuts inside words
+        ways = lattice_brute(s, text)
+        got = s.sample(text, 10_000, b"q")
+        assert {tuple(ids.tolist()) for ids, _, _ in got} == set(ways) and len(got) == len(ways)
+        assert all(abs(ways[tuple(ids.tolist())] - log_p) < 1e-9 for ids, log_p, _ in got)
+    every = s.sample("the cat", 10_000, b"k")
     assert len(every) == len(p) and all(x[2] == 1.0 for x in every)
 
 
@@ -347,6 +362,25 @@ def test_language_id(spark):
     assert list(raw) == ["xx", "yy"] and all(got[i].lang_pred == langid.UNKNOWN and got[i].score == 0 for i in (200, 201, 202)) and got[203].lang_pred == "xx"
     held = [r for r in rows if r[0] is not None and r[0] < 200 and r[0] % 3 == 1]
     assert all(got[i].lang_pred == k and 0.5 < got[i].score <= 1 for i, _, k in held)
+    # each dictionary: whole texts of its language, one for each bucket
+    texts = {t: k for i, t, k in rows if i is not None and i % 3 != 1 and k}
+    for k, d in raw.items():
+        parts = d.decode().split("\n")[:-1]
+        assert len(parts) == len(set(parts)) > 20 and all(texts[x] == k for x in parts)
+    # sizes: all blocks of the whole text, each compressed on its own
+    text = rows[0][1].upper() * 40
+    data, sizes = text.lower().encode(), {}
+    for k, d in raw.items():
+        params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_checksum=0, write_content_size=0, write_dict_id=0)
+        coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[k] = sum(len(coder.compress(data[i : i + langid.BLOCK_BYTES])) for i in range(0, len(data), langid.BLOCK_BYTES))
+    odds = {k: np.exp(-langid.SHARPNESS * n / len(data)) for k, n in sizes.items()}
+    lang, score, rejected = langid.Compressor(raw).predict(text)
+    assert lang == min(sizes, key=sizes.get) == "xx" and abs(score - odds["xx"] / sum(odds.values())) < 1e-9 and rejected == (sizes["yy"] - sizes["xx"] < langid.MARGIN * sizes["xx"])
+    only_long = docs(spark, [(1, "the " * 5000, "xx"), (2, "the " * 3000, "xx"), (3, "x", "zz")], "doc_id bigint, text string, lang string")
+    assert langid.dictionaries(only_long, F.lit(True)) == {"xx": b"the " * 3000 + b"\n", "zz": b"x\n"}
+    with pytest.raises(ValueError):
+        langid.dictionaries(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang")), F.lit(True))
     assert langid.dictionaries(df.limit(0), F.lit(True)) == {} and langid.identify(docs(spark, [(1, "abc")]), {}).first().lang_pred == langid.UNKNOWN
 
 
