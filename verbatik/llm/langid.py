@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary made of sample texts. A text is cut into
+Each language has a raw-content zstandard dictionary made of whole sample texts. A text is cut into
 blocks, every block is compressed with every dictionary, and the language whose blocks take the
 fewest bytes in all wins; `rejected` marks texts whose margin to the next language is narrow.
 """
@@ -17,50 +17,55 @@ from pyspark.sql import functions as F
 
 #: Sample documents of a language: at most this many, one from each bucket of a hash of the id.
 SAMPLE_PER_LANGUAGE = 64
-#: Bytes of a dictionary; characters of one sample document that go into it.
-DICTIONARY_BYTES = 128 << 10
-SHARE_CHARS = 6 << 10
+#: Sample documents have at most so many bytes, so that a dictionary (128 KB at most) holds them whole.
+SAMPLE_BYTES = 2 << 10
+#: And at least so many characters.
+SAMPLE_CHARS = 40
+#: More languages than this are an error: their samples and dictionaries are held at once.
+MAX_LANGUAGES = 512
 #: Block of text that is compressed on its own, so that a long text can't become its own dictionary.
 BLOCK_BYTES = 2 << 10
-LEVEL = 12
+LEVEL = 6
 #: Saved share of the best language's bytes below which a prediction is marked rejected.
 MARGIN = 0.01
 #: Bits a byte to log-odds.
 SHARPNESS = 40.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_GAP = regex.compile(r"[^\p{L}\p{M}']+")
 
 
-def normalized(text: str) -> bytes:
-    """What is compressed of a text: its different words, lower-cased, in order of first use.
-
-    Case, digits, symbols and repeats say nothing about the language but would fill the code.
-    """
-    return " ".join(dict.fromkeys(_GAP.sub(" ", text.lower()).split(" "))).strip().encode("utf-8", "replace")
+def encoded(text: str) -> bytes:
+    """What is compressed of a text: the whole of it, lower-cased."""
+    return text.lower().encode("utf-8", "replace")
 
 
-def dictionaries(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Raw dictionary of every language among the rows where `train` holds, most frequent first.
 
-    The sample is bounded: languages x per_language ids, chosen by hash with map-side combining.
-    Rows whose id, text or language is null aren't learned from.
+    A dictionary is the sample's texts, whole, one after another. The sample is bounded: in each of
+    per_language buckets of a language, the first id by hash among texts of 40 characters to
+    sample_bytes bytes. A language without any such text learns from its shortest one, whole. Rows
+    whose id, text or language is null aren't learned from.
     """
     rows = docs.where(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n"))
     h = F.xxhash64("i")
-    chosen = rows.where(F.length("t") >= 40).groupBy("l", F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min_by("i", h).alias("i"))
-    short = rows.groupBy("l").agg(F.min_by("i", h).alias("i"), F.count(F.lit(1)).alias("n"))
-    ids = chosen.select("l", "i", F.lit(0).alias("n")).union(short.select("l", "i", "n")).collect()
-    if not ids:
+    often = {r.l: r for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min_by("i", F.struct("n", "i")).alias("i")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(often) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not often:
         return {}
-    wanted = docs.sparkSession.createDataFrame([(r.i,) for r in ids], rows.select("i").schema)
-    sample = rows.join(F.broadcast(wanted), "i", "left_semi").select("l", "i", F.substring("t", 1, SHARE_CHARS).alias("t")).distinct().collect()
+    fit = rows.where((F.col("n") <= sample_bytes) & (F.length("t") >= SAMPLE_CHARS))
+    chosen = fit.groupBy("l", F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min_by("i", F.struct(h, "i")).alias("i")).collect()
+    have = {r.l for r in chosen}
+    wanted = {(r.l, r.i) for r in chosen} | {(lang, r.i) for lang, r in often.items() if lang not in have}
+    wanted = docs.sparkSession.createDataFrame(sorted(wanted), rows.select("l", "i").schema)
+    found = rows.join(F.broadcast(wanted), ["l", "i"], "left_semi")
+    found = found.where(((F.col("n") <= sample_bytes) & (F.length("t") >= SAMPLE_CHARS)) | ~F.col("l").isin(*have)).select("l", "i", "t").distinct().collect()
     out: dict[str, bytes] = {}
-    for r in sorted(sample, key=lambda r: (r.l, r.i, r.t)):
-        out[r.l] = out.get(r.l, b"") + normalized(r.t) + b" "
-    often = {r.l: r.n for r in ids if r.n}
-    return {lang: out[lang][-DICTIONARY_BYTES:] for lang in sorted(out, key=lambda x: (-often.get(x, 0), x))}
+    for r in sorted(found, key=lambda r: (r.l, r.i, r.t)):
+        out[r.l] = out.get(r.l, b"") + encoded(r.t) + b"\n"
+    return {lang: out[lang] for lang in sorted(out, key=lambda x: (-often[x].n, x))}
 
 
 class Compressor:
@@ -79,7 +84,7 @@ class Compressor:
         """Language, score (its share of the languages' odds) and whether the margin is narrow."""
         if text is None or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        data = normalized(text)
+        data = encoded(text)
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
         best = min(sizes)
