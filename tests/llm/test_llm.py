@@ -1,5 +1,6 @@
 """The operators for training data against brute force, round trips and held-out rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -176,15 +177,49 @@ def test_warc(spark, tmp_path):
     kinds = {k: v[:2] for k, v in got.items()}
     assert kinds[5, rows[1][1]] == ("response", None) and kinds[1, rows[0][1]] == kinds[3, None] == ("revisit", 5)
     assert kinds[6, ""] == kinds[7, ""] == ("response", None) and sorted([kinds[9, "u"], kinds[9, "v"]]) == [("response", None), ("revisit", 9)]
+    assert back.count() == len(rows)
+    heads = [gzip.decompress(f[a : a + n]).split(b"\r\n\r\n")[0] for p in sorted((tmp_path / "w" / "archive").glob("part-*")) for f in [p.read_bytes()] for a, n, raw in warc.members(f) if raw]
+    assert len({re.search(rb"WARC-Record-ID: (\S+)", h)[1] for h in heads}) == len(rows)
     index = warc.CaptureIndex(spark, f"{path}/index")
-    found = index.captures("http://a.org/x")
-    assert [c["page_id"] for c in found] == [1, 5] and index.captures("http://nowhere/") == []
-    assert index.fetch(found[1])["payload"].decode() == big and index.fetch(found[0])["record_type"] == "revisit"
-    assert index.fetch(index.captures(rows[3][1])[0])["payload"].decode() == huge
+    urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    found = index.captures(urls("http://a.org/x", "HTTP://A.org/x", rows[3][1], "http://nowhere/"))
+    assert sorted(r.page_id for r in found.collect()) == [1, 2, 5]
+    fetched = {r.page_id: r for r in index.fetch(found).collect()}
+    assert bytes(fetched[5].payload).decode() == big and fetched[1].record_type == "revisit" and bytes(fetched[2].payload).decode() == huge
+    assert index.captures(urls("http://nowhere/")).count() == 0 and index.fetch(index.captures(urls("http://nowhere/"))).count() == 0
     assert {bytes(r.payload).decode() for r in warc.read(spark, f"{path}/archive").where("page_id = 2").collect()} == {huge}
     assert warc.archive(pages.limit(0), str(tmp_path / "e"))[0].count() == 0
 
 
+@pytest.mark.parametrize("schemes", [("file",), ()])
+def test_capture_index_finds_and_reads_only_what_is_asked(spark, tmp_path, monkeypatch, schemes):
+    """Small blocks and parts, and one URL that many blocks share; ranges read by tasks, or whole files through Spark."""
+    monkeypatch.setattr(warc, "RANGE_SCHEMES", schemes)
+    rows = [(i, f"http://h{i % 7}.org/{i % 50}" if i % 3 else "http://hot.org/", "p" * (i % 90)) for i in range(900)]
+    pages = docs(spark, rows, "page_id bigint, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write(pages, f"{path}/archive", per_file=100)
+    warc.build_index(warc.read(spark, f"{path}/archive", with_payload=False), f"{path}/index", lines=16, part_lines=100)
+    index = warc.CaptureIndex(spark, f"{path}/index")
+    assert len(index.parts) > 4 and index.directory.count() > 50
+    for asked in (["http://hot.org/"], ["http://h1.org/1", "http://h2.org/2", "http://h2.org/99"], [r[1] for r in rows]):
+        urls = spark.createDataFrame([(x,) for x in asked], "url string")
+        want = sorted(r[0] for r in rows if r[1] in asked)
+        captures = index.captures(urls)
+        got = index.fetch(captures).collect()
+        assert sorted(r.page_id for r in captures.collect()) == sorted(r.page_id for r in got) == want
+        assert all(bytes(r.payload).decode() == rows[r.page_id][2] for r in got)
+    few = spark.createDataFrame([("http://h1.org/1",)], "url string")
+    assert index.blocks(few).count() <= 3
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = docs(spark, [(i, "http://a/", "".join(random.Random(i).choices("abcdefgh", k=9000))) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "a"), file_bytes=50_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 8 and max(sizes) <= 50_000 and warc.read(spark, str(tmp_path / "a")).count() == 40
+
+
 def test_url_key():
     assert warc.url_key("HTTP://www.B.example.com:80/P?z=1&a=2#f") == "com,example,b)/p?a=2&z=1"
     assert warc.url_key(None) == ")/"

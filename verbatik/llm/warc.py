@@ -4,8 +4,11 @@ Records are gzip members of their own. Spark's text writer puts them into files:
 separator is an empty gzip member, which readers of concatenated members pass over, so files are
 committed, retried and placed like any other output of Spark's, on any file system.
 
-The capture index sorts lines by reversed-host URL key over range partitions, packs them into
-zlib blocks, and keeps a directory with the first key of each block.
+The capture index sorts lines by reversed-host URL key over range partitions and packs them into
+blocks, gzip members of index parts that are written the same way. Its directory has the first and
+last key and the byte range of each block. A lookup goes down two levels: the parts' key ranges,
+then, in the tasks, a binary search among a part's blocks; only the blocks found are read, by their
+byte ranges, and then only the byte ranges of the captures found in them.
 """
 
 from __future__ import annotations
@@ -16,45 +19,61 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import materialize, new_path
+from verbatik.llm.common import discard, materialize, new_path, rows_in, shards
 
 #: Payloads under this many bytes are never made revisits.
 REVISIT_BYTES = 1000
-#: Records in a file: bounds what one task holds when it reads a whole file.
+#: A file has at most this many records, and fewer if the longest payload is such that they could
+#: exceed FILE_BYTES; a single longer record has a file of its own.
 RECORDS_PER_FILE = 5_000
-#: Lines of an index block.
+FILE_BYTES = 512 << 20
+#: Lines of an index block; lines that a part is planned for.
 BLOCK_LINES = 3_000
+PART_LINES = 300_000
+#: Byte ranges of one file that one task reads, in one go or not.
+RUN_BYTES = 32 << 20
+#: Schemes whose byte ranges tasks read themselves; files of others come whole through Spark's reader.
+RANGE_SCHEMES = ("file", "hdfs", "s3", "s3a", "gs")
 #: An empty gzip member.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _HEADER_END = b"\r\n\r\n"
+_HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + _HEADER_END
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
+RECORD = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, file string, offset bigint, length bigint, payload binary"
+_NAMES = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "file", "offset", "length", "payload"]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: int | None) -> bytes:
-    """A response or revisit record as one gzip member. A revisit has no payload but tells its length."""
-    body = b"" if kind == "revisit" else payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: int | None, number: str = "0") -> bytes:
+    """A response or revisit record as one gzip member; number makes its id unique in the archive.
+
+    A response holds an HTTP response with the payload as its body. A revisit holds its head only
+    and tells the payload's length. Page ids have header fields of their own; null has none.
+    """
+    body = _HTTP_HEAD + (b"" if kind == "revisit" else payload)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{number}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\r\n]", "", url))
     if kind == "revisit":
-        head += [f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
+        head.append(f"WARC-Profile: {_REVISIT_PROFILE}")
+        if refers_to is not None:
+            head.append(f"X-Refers-To-Page-ID: {refers_to}")
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     raw = "\r\n".join(head).encode("utf-8", "replace") + _HEADER_END + body + _HEADER_END
     return gzip.compress(raw, compresslevel=4, mtime=0)
 
 
-def _id(urn: str | None) -> int | None:
-    m = re.search(r"<urn:page:(-?\d+)>", urn or "")
-    return int(m[1]) if m else None
-
-
 def parse(raw: bytes) -> dict | None:
     """Fields of one uncompressed record; None for an empty member."""
     if not raw:
@@ -65,9 +84,12 @@ def parse(raw: bytes) -> dict | None:
         raise ValueError("not a WARC record")
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
     payload = rest[: int(fields["content-length"])]
+    if fields.get("content-type", "").startswith("application/http"):
+        payload = payload.partition(_HEADER_END)[2]
+    number = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": _id(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload": payload,
-        "payload_bytes": int(fields.get("x-payload-length", len(payload))), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": _id(fields.get("warc-refers-to")),
+        "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload": payload,
+        "payload_bytes": int(fields.get("x-payload-length", len(payload))), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": number("x-refers-to-page-id"),
     }
 
 
@@ -121,48 +143,64 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     return decided.where(~tied).select(*out).union(ranked.select(*out))
 
 
-def write(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, **columns) -> None:
-    """Write one record for each row of pages into WARC files (.txt in name, gzip members in fact) under path."""
+def _write_members(rows: DataFrame, path: str, per_file: int = 0) -> None:
+    """Write the gzip members of the column value, in order, as files (.txt in name) below path."""
+    writer = rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
+    writer.option("maxRecordsPerFile", per_file).text(path)
+
+
+def write(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, **columns) -> None:
+    """Write one record for each row of pages into WARC files under path."""
 
     def run(batches):
+        task, n = TaskContext.get(), 0
         for b in batches:
-            out = [record(*r) for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)]
+            rows = zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
+            out = [record(*r, number=f"{task.partitionId()}-{k}") for k, r in enumerate(rows, n)]
+            n += len(out)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    longest = pages.agg(F.max(F.octet_length(columns.get("payload_col", "html")))).first()[0] or 0
     rows = decide(pages, **columns).select("page_id", "url", "payload", "kind", "digest", "refers_to")
-    records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    writer = records.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-    writer.option("maxRecordsPerFile", per_file).text(path)
+    _write_members(rows.mapInArrow(run, "value binary"), path, max(1, min(per_file, file_bytes // (longest + 2_000))))
+
+
+def _checked(file: str, offset: int, length: int, raw: bytes, with_payload: bool) -> list | None:
+    """A record's fields; None for an empty member. A response that doesn't fit its digest and length is an error."""
+    r = parse(raw)
+    if r is None:
+        return None
+    if r["record_type"] == "response" and (hashlib.sha1(r["payload"]).hexdigest(), len(r["payload"])) != (r["payload_digest"], r["payload_bytes"]):
+        raise ValueError(f"bad payload in {file} at {offset}")
+    return [*(r[c] for c in _NAMES[:6]), file, offset, length, r["payload"] if with_payload else None]
+
+
+def _batches(rows: Iterator[list | None], most: int = 500, most_bytes: int = 32 << 20):
+    out, size = [], 0
+    for r in rows:
+        if r is not None:
+            out.append(r)
+            size += len(r[9] or b"")
+            if len(out) >= most or size >= most_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Every record below path: page_id, url, record_type, payload_bytes, payload_digest, refers_to, file, offset, length, payload.
+    """Every record below path, by a scan of all files: page_id, url, record_type, payload_bytes, payload_digest, refers_to, file, offset, length, payload.
 
     A response's payload is checked against its digest and length; a mismatch is an error.
     """
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "file", "offset", "length", "payload"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                for offset, length, raw in members(data):
-                    r = parse(raw)
-                    if r is None:
-                        continue
-                    if r["record_type"] == "response" and (hashlib.sha1(r["payload"]).hexdigest(), len(r["payload"])) != (r["payload_digest"], r["payload_bytes"]):
-                        raise ValueError(f"bad payload in {file} at {offset}")
-                    rows.append([*(r[c] for c in names[:6]), file, offset, length, r["payload"] if with_payload else None])
-                    if len(rows) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, file string, offset bigint, length bigint, payload binary"
+                yield from _batches(_checked(file, at, n, raw, with_payload) for at, n, raw in members(data))
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, RECORD)
 
 
 def url_key(url: str | None) -> str:
@@ -177,23 +215,87 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (u.path.lower() or "/") + query
 
 
-def build_index(records: DataFrame, path: str, lines: int = BLOCK_LINES) -> None:
-    """Write the capture index of records (as read() gives them) below path: blocks and directory.
+class Ranges:
+    """Byte ranges of files, read through pyarrow's file systems; a file stays open until the next one."""
+
+    def __init__(self):
+        self.path, self.file = None, None
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        from pyarrow import fs
+
+        if path != self.path:
+            self.close()
+            if path.startswith("file:"):
+                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+            self.path, self.file = path, system.open_input_file(name)
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
 
-    A block is a row of blocks/ (first_key, last_key, n, block: zlib of JSON lines, sorted); the
-    directory has (first_key, last_key, part) of each block.
+
+def _with_bytes(wanted: DataFrame, use, schema: str, example: str | None) -> DataFrame:
+    """use(rows) over rows (columns of wanted, bytes) of byte ranges: columns file, offset, length, and others.
+
+    Ranges of one file are dealt in runs of RUN_BYTES, so that a file isn't one task's alone. All
+    files are in the folder of the file `example`; there are no rows if that is None.
     """
+    spark, names = wanted.sparkSession, wanted.columns
+    if example is None:
+        return spark.createDataFrame([], schema)
+    run_of = F.floor(F.col("offset") / RUN_BYTES)
+    if example.split(":")[0] in RANGE_SCHEMES:
+
+        def run(batches):
+            ranges = Ranges()
+            for b in batches:
+                rows = (dict(zip(names, r, strict=True)) for r in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+                yield from use((r, ranges.read(r["file"], r["offset"], r["length"])) for r in rows)
+            ranges.close()
+
+        return wanted.repartition("file", run_of).sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+
+    def whole(batches):
+        for b in batches:
+            for asked, data in zip(b.column("asked").to_pylist(), b.column("content").to_pylist(), strict=True):
+                yield from use((r, data[r["offset"] : r["offset"] + r["length"]]) for r in asked)
+
+    listed = wanted.groupBy("file").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    files = spark.read.format("binaryFile").load(example.rsplit("/", 1)[0]).select(F.col("path").alias("file"), "content")
+    return files.join(listed, "file").select("asked", "content").mapInArrow(whole, schema)
+
 
-    def keys(batches):
+_LINE = ["key", "url", "page_id", "record_type", "payload_digest", "file", "offset", "length"]
+_LINE_SCHEMA = "key string, url string, page_id bigint, record_type string, payload_digest string, file string, offset bigint, length bigint"
+
+
+def with_keys(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns named, the first of them a URL, after the column key."""
+
+    def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()]), *b.columns], ["key", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string()), *b.columns], ["key", *b.schema.names])
+
+    rows = rows.select(*cols)
+    return rows.mapInArrow(run, "key string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+def build_index(records: DataFrame, path: str, lines: int = BLOCK_LINES, part_lines: int = PART_LINES) -> None:
+    """Write the capture index of records (as read() gives them) below path.
+
+    blocks/ has the index parts; directory/ the blocks: part, first_key, last_key, n, offset, length.
+    """
 
     def blocks(batches):
         rows: list[tuple] = []
 
         def packed(part):
-            raw = "\n".join(json.dumps(r) for r in part).encode()
-            return pa.RecordBatch.from_arrays([pa.array([part[0][0]]), pa.array([part[-1][0]]), pa.array([len(part)], pa.int64()), pa.array([zlib.compress(raw)], pa.binary())], ["first_key", "last_key", "n", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([gzip.compress("\n".join(map(json.dumps, part)).encode(), mtime=0)], pa.binary())], ["value"])
 
         for b in batches:
             rows += zip(*(c.to_pylist() for c in b.columns), strict=True)
@@ -203,63 +305,103 @@ def build_index(records: DataFrame, path: str, lines: int = BLOCK_LINES) -> None
         if rows:
             yield packed(rows)
 
-    cols = ["url", "page_id", "record_type", "payload_digest", "file", "offset", "length"]
-    keyed = records.select(*cols).mapInArrow(keys, "key string, url string, page_id bigint, record_type string, payload_digest string, file string, offset bigint, length bigint")
+    def entries(batches):
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = []
+                for offset, length, raw in members(data):
+                    if raw:
+                        rows = raw.split(b"\n")
+                        found.append((part, json.loads(rows[0])[0], json.loads(rows[-1])[0], len(rows), offset, length))
+                if found:
+                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["part", "first_key", "last_key", "n", "offset", "length"])
+
+    parts = shards(records.sparkSession, rows_in(records), part_lines)
     # the page id joins the range key, so that one URL's captures can be spread over partitions
-    ordered = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    ordered.mapInArrow(blocks, "first_key string, last_key string, n bigint, block binary").write.parquet(f"{path}/blocks")
-    found = records.sparkSession.read.parquet(f"{path}/blocks")
-    found.select("first_key", "last_key", "n", F.col("_metadata.file_path").alias("part")).write.parquet(f"{path}/directory")
+    ordered = with_keys(records, _LINE[1:]).repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    _write_members(ordered.mapInArrow(blocks, "value binary"), f"{path}/blocks")
+    files = records.sparkSession.read.format("binaryFile").load(f"{path}/blocks").select("path", "content")
+    files.mapInArrow(entries, "part string, first_key string, last_key string, n bigint, offset bigint, length bigint").write.parquet(f"{path}/directory")
 
 
 class CaptureIndex:
-    """Look up captures: binary search in the directory, then in one block, then ranges of the archives."""
+    """Look up captures of many URLs at once, and read them by their byte ranges.
+
+    The driver holds only the key range of each part, of which there is one for PART_LINES records.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        rows = spark.read.parquet(f"{path}/directory").orderBy("first_key", "last_key").collect()
-        self.first, self.last = [r.first_key for r in rows], [r.last_key for r in rows]
-        self.parts = [r.part for r in rows]
-
-    def captures(self, url: str) -> list[dict]:
-        """Lines of the url's captures, by page id."""
-        key = url_key(url)
-        hi = bisect.bisect_right(self.first, key)
-        lo = hi
-        while lo and self.last[lo - 1] >= key:
-            lo -= 1
-        out = []
-        for k in range(lo, hi):
-            at = (F.col("first_key") == self.first[k]) & (F.col("last_key") == self.last[k])
-            for r in self.spark.read.parquet(self.parts[k]).where(at).select("block").collect():
-                rows = [json.loads(x) for x in zlib.decompress(bytes(r.block)).decode().split("\n")]
-                a, b = bisect.bisect_left(rows, key, key=lambda x: x[0]), bisect.bisect_right(rows, key, key=lambda x: x[0])
-                out += [dict(zip(["key", "url", "page_id", "record_type", "payload_digest", "file", "offset", "length"], x, strict=True)) for x in rows[a:b]]
-        unique = {(c["file"], c["offset"]): c for c in out}
-        return sorted(unique.values(), key=lambda c: (c["page_id"] is not None, c["page_id"] or 0))
-
-    def fetch(self, capture: dict) -> dict:
-        """Read one capture's byte range through Spark's file system and parse it."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(capture["file"])
-        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-        try:
-            stream.seek(capture["offset"])
-            raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, capture["length"]))
-        finally:
-            stream.close()
-        return parse(gzip.decompress(raw))
+        self.spark, self.directory = spark, spark.read.parquet(f"{path}/directory")
+        self.parts = sorted(tuple(r) for r in self.directory.groupBy("part").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).select("a", "b", "part").collect())
+
+    def blocks(self, urls: DataFrame) -> DataFrame:
+        """The blocks that can have captures of the URLs (first column): file, offset, length, and the keys asked of each."""
+        lows, parts = [p[0] for p in self.parts], self.parts
+
+        def ask(batches):
+            for b in batches:
+                out = []
+                for key in b.column(0).to_pylist():
+                    k = bisect.bisect_right(lows, key) - 1
+                    while k >= 0 and parts[k][1] >= key:
+                        out.append((key, parts[k][2]))
+                        k -= 1
+                cols = list(zip(*out, strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "part"])
+
+        def search(asked: pa.Table, found: pa.Table) -> pa.Table:
+            rows = sorted(found.to_pylist(), key=lambda r: (r["first_key"], r["last_key"], r["offset"])) if asked.num_rows else []
+            first, last, keys = [r["first_key"] for r in rows], [r["last_key"] for r in rows], {}
+            for key in asked.column("key").to_pylist():
+                k = bisect.bisect_right(first, key) - 1
+                while k >= 0 and last[k] >= key:
+                    keys.setdefault(k, []).append(key)
+                    k -= 1
+            hit = [rows[k] for k in keys]
+            return pa.table([pa.array([r["part"] for r in hit], pa.string()), pa.array([r["offset"] for r in hit], pa.int64()), pa.array([r["length"] for r in hit], pa.int64()), pa.array(list(keys.values()), pa.list_(pa.string()))], ["file", "offset", "length", "keys"])
+
+        keys = with_keys(urls, urls.columns[:1]).select("key").distinct().mapInArrow(ask, "key string, part string")
+        pairs = keys.groupBy("part").cogroup(self.directory.groupBy("part"))
+        return pairs.applyInArrow(search, "file string, offset bigint, length bigint, keys array<string>")
+
+    def captures(self, urls: DataFrame) -> DataFrame:
+        """Index lines of all captures of the URLs, each once: key, url, page_id, record_type, payload_digest, file, offset, length."""
+
+        def use(rows):
+            for r, raw in rows:
+                lines = [json.loads(x) for x in gzip.decompress(raw).split(b"\n")]
+                out = []
+                for key in r["keys"]:
+                    out += lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+                if out:
+                    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], _LINE)
+
+        return _with_bytes(self.blocks(urls), use, _LINE_SCHEMA, self.parts[0][2] if self.parts else None)
+
+    def fetch(self, captures: DataFrame, with_payload: bool = True) -> DataFrame:
+        """The records of captures (file, offset, length), as read() gives them."""
+
+        def use(rows):
+            return _batches(_checked(r["file"], r["offset"], r["length"], gzip.decompress(raw), with_payload) for r, raw in rows)
+
+        first = captures.first()
+        return _with_bytes(captures.select("file", "offset", "length"), use, RECORD, first and first.file)
 
 
 def archive(pages: DataFrame, path: str | None = None, **columns) -> tuple[DataFrame, str]:
-    """Write pages as archives and their index below path (default: a new shared folder); returns what is read back, and path.
+    """Write pages as archives and their index below path (default: a new shared folder).
 
-    Every row gives one record: repeated rows too, null urls have no target URI, null payloads are
-    empty. Very long payloads are whole. An empty table gives archives without records.
+    Returns the records of all pages, looked up by their URLs in the index and read back by byte
+    ranges, and path. Every row gives one record: repeated rows too, null urls have no target URI,
+    null payloads are empty. Very long payloads are whole. An empty table gives no records.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write(pages, f"{path}/archive", **columns)
-    back = materialize(read(spark, f"{path}/archive", with_payload=False), "warc-records")
-    build_index(back, f"{path}/index")
-    return back, path
+    lines = materialize(read(spark, f"{path}/archive", with_payload=False), "warc-lines")
+    build_index(lines, f"{path}/index")
+    discard(lines)
+    index = CaptureIndex(spark, f"{path}/index")
+    return index.fetch(materialize(index.captures(pages.select(columns.get("url_col", "url"))), "warc-captures"), with_payload=False), path
