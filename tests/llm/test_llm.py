@@ -79,8 +79,9 @@ def test_simhash(spark):
     assert Counter((r.doc_id, r.component_id) for r in twice) == Counter([(3, 3), (3, 3), (None, 3), (2, 2)])
 
 
-@pytest.mark.parametrize("radius", [1, 2])
-def test_links_connect_all_near_fingerprints(spark, radius):
+@pytest.mark.parametrize(("radius", "bucket_rows"), [(1, 4000), (2, 4000), (2, 5), (3, 4000), (7, 8)])
+def test_links_connect_all_near_fingerprints(spark, monkeypatch, radius, bucket_rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket_rows)
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = {int(s) for s in seeds}
@@ -108,10 +109,40 @@ def test_links_connect_all_near_fingerprints(spark, radius):
     assert {x: got.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
 
+def test_bucket_links_span_what_pairs_connect():
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 1 << 9, 120, dtype=np.uint64))
+    own = rng.random(len(fps)) < 0.5
+    u, v = simhash.bucket_links(fps, own, 1)
+    pair = lambda a, b: (int(fps[a]) ^ int(fps[b])).bit_count() <= 1 and (own[a] or own[b])
+    assert all(pair(a, b) for a, b in zip(u, v, strict=True)) and len(u) < len(fps)
+
+    def classes(edges):
+        root = list(range(len(fps)))
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(list(zip(u.tolist(), v.tolist(), strict=True))) == classes([(a, b) for a in range(len(fps)) for b in range(a) if pair(a, b)])
+
+
+def test_wide_candidates_hold_all_pairs_within_the_radius():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, (200, 4), dtype=np.uint64)
+    p = simhash.plan(fps, 10**6, 20, [12, 16])
+    for row in fps[:40]:
+        other = simhash.bit_matrix(row[None])[0]
+        other[rng.choice(256, 20, replace=False)] ^= 1
+        pair = np.stack([row, np.packbits(other, bitorder="little").view("<u8")])
+        keys, own = simhash.probe_keys(pair, p)
+        assert set(keys[0]) & set(keys[1][own]) or set(keys[1]) & set(keys[0][own])
+
+
 def test_plan_spends_the_radius():
     rng = np.random.default_rng(0)
     for total in (100, 10**6, 10**10):
-        p = simhash.plan(rng.integers(0, 2**63, 500, dtype=np.uint64), total, 2)
+        p = simhash.plan(rng.integers(0, 2**63, (500, 1), dtype=np.uint64), total, 2)
         assert sum(t + 1 for t in p.thresholds) == 3 and sorted(b for x in p.parts for b in x) == list(range(64))
 
 

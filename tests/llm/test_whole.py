@@ -7,7 +7,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import licenses, nearcopies, quality_rules, queries  # noqa: E402
+from verbatik.llm import licenses, quality_rules, queries, simhash  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -26,7 +26,7 @@ def jaccard(a, b):
 
 
 def test_near_dedup_keeps_no_pair_of_similarity(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "SMALL", 8)
+    monkeypatch.setattr(simhash, "SMALL", 8)
     rng, texts = random.Random(3), []
     for group in range(12):
         base = prose(rng, 250)
@@ -42,7 +42,7 @@ def test_near_dedup_keeps_no_pair_of_similarity(spark, monkeypatch):
     assert all(jaccard(a, b) < 0.8 for i, a in plain.items() for j, b in plain.items() if i < j)
     near = {i: [j for j in range(len(texts)) if j != i and jaccard(texts[i], texts[j]) >= 0.8] for i in range(len(texts))}
     assert len(plain) >= 12 and all(near[i] for i in range(len(texts)) if i not in plain) and all(i in plain for i in near if not near[i])
-    assert nearcopies.keep_one(table(spark, []), "doc_id").count() == 0
+    assert simhash.keep_similar(table(spark, []), "doc_id").count() == 0
 
 
 def test_classifier_learns_from_what_the_rules_rejected(spark, tmp_path):
