@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatik.llm import knn_quality, nearcopies, packing, quality_rules, queries, suffix
+from verbatik.llm import knn_quality, packing, quality_rules, queries, simhash, suffix
 from verbatik.llm.common import materialize, remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,7 +29,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles have a similarity of 0.8 or more, the one of the smallest doc_id stays."""
-    return nearcopies.keep_one(docs, width=5, similarity=0.8).select(*COLUMNS)
+    return simhash.keep_similar(docs, width=5, similarity=0.8).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
