@@ -1,5 +1,6 @@
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,10 +149,10 @@ def test_responses(spark):
 def test_cache_and_halves(spark):
     items = [{"index": 1, "fr": "un"}]
     ok, bad = '[{"index": 1, "zh": "一"}]', "[]"
-    rows = [("b_a", items, bad, 2, "r1"), ("b_a", items, ok, 1, "r0"), ("b_b", items, ok, 1, "r0"), ("c_a", items, ok, 1, "r0")]
-    df = spark.createDataFrame(rows, "batch_id string, items array<struct<index:bigint,fr:string>>, raw_response string, written_at int, name string")
-    assert sorted(r.batch_id for r in translate.cached_responses(df).collect()) == ["b_a", "b_b", "c_a"]
-    assert {r.batch_id: len(r.zh) for r in translate.assemble_halves(df).collect()} == {"b": 2}
+    rows = [(1, "b_a", items, bad, 2, "r1"), (1, "b_a", items, ok, 1, "r0"), (1, "b_b", items, ok, 1, "r0"), (1, "c_a", items, ok, 1, "r0"), (2, "b_a", items, ok, 1, "r0")]
+    df = spark.createDataFrame(rows, "transcript_id int, batch_id string, items array<struct<index:bigint,fr:string>>, raw_response string, written_at int, name string")
+    assert sorted((r.transcript_id, r.batch_id) for r in translate.cached_responses(df).collect()) == [(1, "b_a"), (1, "b_b"), (1, "c_a"), (2, "b_a")]
+    assert {(r.transcript_id, r.batch_id): len(r.zh) for r in translate.assemble_halves(df).collect()} == {(1, "b"): 2}
 
 
 def test_merge_translations_last_wins(spark):
@@ -212,7 +213,7 @@ def test_running_tasks(spark, tmp_path):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"text": "x", "segments": [{"id": 3, "start": 0.5, "end": 1.0, "text": " x"}, {"start": 1.0, "end": 2.0}]}))
     rows = sg.explode_segments(sg.read_transcripts(spark, str(tmp_path))).orderBy("pos").collect()
-    assert [(r.transcript_id, r.id, r.text) for r in rows] == [("a.json", 3.0, " x"), ("a.json", 0.0, "")]
+    assert [(r.transcript_id.rsplit("/", 1)[1], r.id, r.text) for r in rows] == [("a.json", 3.0, " x"), ("a.json", 0.0, "")]
     kinds = spark.createDataFrame([("http://h/x.mp3",), ("/d/a.MP3",), ("b.mkv",), ("c.txt",), (None,)], "p string").select(sg.input_kind(F.col("p")).alias("k")).collect()
     assert [r.k for r in kinds] == ["url", "audio", "video", "unsupported", "unsupported"]
     info = spark.createDataFrame([('{"title": "t", "duration": 2, "formats": [{"vcodec": "none"}, {"vcodec": "h264", "height": 720}]}',)], "info string")
@@ -224,24 +225,123 @@ def test_config():
     assert (c.whisper.model_path, c.whisper.punctuation.enabled, c.translate.batch_size, c.summary.enabled, c.system.min_ram_gb) == ("m", False, 4, False, 2.5)
 
 
-def _translator(batch_id, items, context):
-    return "broken" if len(items) > 2 else json.dumps([{"index": x["index"], "zh": "译" + x["fr"]} for x in items])
+def _translator(batch):
+    """Notes each call in the file that the prompt names first."""
+    path, _, rest = batch["prompt"].partition("|")
+    with open(path, "a") as f:
+        f.write(json.dumps([batch["batch_id"], rest]) + "\n")
+    if any("raise" in x["fr"] for x in batch["items"]):
+        raise ValueError("no answer")
+    if any("never" in x["fr"] for x in batch["items"]) or len(batch["items"]) > 2:
+        return json.dumps([{"index": x["index"], "zh": x["fr"]} for x in batch["items"]])
+    return json.dumps([{"index": x["index"], "zh": "译" + x["fr"]} for x in batch["items"]])
 
 
 def _short(kind, text):
-    return text[:10]
+    return "SUMMARY " + text[:10]
 
 
-def test_pipeline_resumes(spark, tmp_path):
-    data = [(1, "Bonjour le monde. Salut.", [(0.0, 0.0, 5.0, "Bonjour le monde entier, mes amis."), (1.0, 6.0, 9.0, "Salut à tous les gens ici."), (2.0, 10.0, 15.0, "Encore une phrase pour finir.")])]
+def test_pipeline_asks_with_prompts_and_resumes(spark, tmp_path):
+    segment = lambda i, t: (float(i), 10.0 * i, 10.0 * i + 9, t)
+    data = [
+        (1, "Bonjour le monde. Salut.", [segment(0, "Bonjour le monde entier, mes amis."), segment(1, "Salut à tous les gens ici."), segment(2, "Encore une phrase pour finir.")]),
+        (2, "Un. Deux.", [segment(0, "Il ne sera never traduit, celui-ci."), segment(1, "Mais son voisin le sera bien.")]),
+    ]
     df = spark.createDataFrame(data, "transcript_id bigint, text string, segments array<struct<id:double,start:double,end:double,text:string>>")
-    cfg = config.resolve({"translation": {"translation_prompt": "{summary}{context}{segments}", "max_retries": 0}})
+    log = tmp_path / "calls"
+    cfg = config.resolve({"translation": {"translation_prompt": f"{log}|{{summary}}~{{context}}~{{segments}}", "max_retries": 1, "retry_delay": 0}})
     providers = pipeline.Providers(_translator, _short)
-    out = pipeline.run(spark, df, str(tmp_path / "run"), cfg, providers).first()
-    assert len(out.segments) == 3 and all(s.zh == "译" + s.text.strip() for s in out.segments)
-    stages = pipeline.Stages(spark, str(tmp_path / "run"))
+    folder = str(tmp_path / "run")
+    out = pipeline.run(spark, df, folder, cfg, providers).collect()
+    assert [r.transcript_id for r in out] == [1] and all(s.zh == "译" + s.text.strip() for s in out[0].segments) and len(out[0].segments) == 3
+    failed = spark.read.parquet(f"{folder}/05_failed").collect()
+    assert [(r.transcript_id, r.batch_id, r.error_code) for r in failed] == [(2, "batch_01_segments_001_002_a", "invalid_content")]
+    calls = [json.loads(x) for x in log.read_text().splitlines()]
+    first = [c for i, c in calls if i == "batch_01_segments_001_003"]
+    # two attempts, the second with the batch's own texts as context; then the halves
+    assert len(first) == 2 and first[0].startswith("SUMMARY Bonjour le~~[{") and first[1].startswith("SUMMARY Bonjour le~Bonjour le monde entier, mes amis. Salut à tous les gens ici.~[{")
+    assert {i for i, _ in calls} == {"batch_01_segments_001_003", "batch_01_segments_001_003_a", "batch_01_segments_001_003_b", "batch_01_segments_001_002", "batch_01_segments_001_002_a", "batch_01_segments_001_002_b"}
+    # a run that broke off before its translations were whole asks nothing again that was answered
+    for name in ("05_translations", "05_failed", "06_merged", "07_coverage"):
+        shutil.rmtree(f"{folder}/{name}")
+    again = pipeline.run(spark, df, folder, cfg, providers).collect()
+    assert again == out
+    new = [json.loads(x)[0] for x in log.read_text().splitlines()][len(calls):]
+    assert set(new) == {"batch_01_segments_001_002_a"}
+    stages = pipeline.Stages(spark, folder)
     assert stages.complete("08_subtitles") and not stages.complete("09")
-    assert pipeline.run(spark, df.limit(0), str(tmp_path / "run"), cfg, providers).count() == 1
+    assert pipeline.run(spark, df.limit(0), folder, cfg, providers).count() == 1
+
+
+def test_provider_errors_and_cache(spark):
+    b = spark.createDataFrame([(1, 0, "b", [(1, "un mot de plus")], "", "")], "transcript_id int, batch_no int, batch_id string, items array<struct<index:bigint,fr:string>>, context string, retry_context string")
+    got = translate.translate_batches(b, _raises, 2)
+    assert got.translations.count() == 0 and [r.error_code for r in got.failed.collect()] == ["no_json"]
+    cache = spark.createDataFrame([(1, "b", '[{"index": 1, "zh": "一"}]', 1, "n")], "transcript_id int, batch_id string, raw_response string, written_at int, name string")
+    got = translate.translate_batches(b, _raises, 1, cache=cache.withColumn("items", F.lit(None)))
+    assert [r.zh for r in got.translations.collect()] == ["一"] and got.failed.count() == 0
+
+
+def _raises(batch):
+    raise RuntimeError("model")
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, " ".join("abcdefghij")), (3, "boom"), (4, None)], "transcript_id int, text string")
+
+    got = {r.transcript_id: (r.summary, r.strategy, r.chunk_count, r.reduce_passes) for r in summary.summarize(df, _summary_or_error, 4, 1).collect()}
+    assert got == {1: ("summary:a b", "single_pass", 1, 0), 2: ("reduce:chunk:a", "map_reduce", 3, 1), 3: ("这是一个关于文稿的总结。原文总长度：4字符。", "fallback", 0, 0), 4: ("summary:", "single_pass", 1, 0)}
+    assert {r.strategy for r in summary.summarize(df, None).collect()} == {"mock"}
+    letters = summary.chunks(df.where("transcript_id = 2"), "text", 8, 2, _letters).orderBy("index").collect()
+    assert [(r.token_start, r.token_end, r.text) for r in letters] == [(0, 8, "a b c d "), (6, 14, "d e f g "), (12, 19, "g h i j")]
+
+
+class _Letters:
+    def encode(self, text):
+        return [ord(c) for c in text]
+
+    def decode(self, ids):
+        return "".join(map(chr, ids))
+
+
+def _letters():
+    return _Letters()
+
+
+def _summary_or_error(kind, text):
+    if "boom" in text:
+        raise ValueError("boom")
+    return f"{kind}:{text[:3]}".rstrip() if kind == "summary" else f"{kind}:{text.split()[0]}" + (" x y" if kind == "chunk" else "")
+
+
+def test_merge_when_times_go_back(spark):
+    """Against greedy passes over the whole list."""
+    from verbatik.operators.refine import _settle
+
+    rng = random.Random(11)
+    rows, want, merges = [], {}, {}
+    for t in range(300):
+        at, segments = 0.0, []
+        for pos in range(rng.randint(1, 12)):
+            start = max(0.0, at + rng.choice([0, 0, 0.05, 0.5, -0.4, -2.0]))
+            end = start + rng.choice([0.3, 0.8, 1.5, 3.0])
+            at = end if rng.random() < 0.8 else start
+            segments.append({"pos": pos, "id": float(pos), "start_s": start, "end_s": end, "text": " ".join(rng.choices(["mot", "fin.", "oui"], k=rng.randint(1, 6)))})
+        rows += [(t, *s.values()) for s in segments]
+        noted: list = []
+        want[t] = [(s["pos"], s["start_s"], s["end_s"], s["text"], s["n"]) for s in _settle([s | {"n": 1} for s in segments], noted)]
+        merges[t] = [(a["id"], b["id"], m["text"]) for a, b, m in noted]
+    df = spark.createDataFrame(rows, "transcript_id int, pos int, id double, start_s double, end_s double, text string")
+    got: dict = {}
+    for r in refine.merge_fixpoint(df).orderBy("transcript_id", "pos").collect():
+        got.setdefault(r.transcript_id, []).append((r.pos, r.start_s, r.end_s, r.text, r.n_merged))
+    assert got == want
+    details: dict = {}
+    for r in refine.merge_details(df).collect():
+        details.setdefault(r.transcript_id, []).append((r.first_id, r.second_id, r.merged_text))
+    assert {t: sorted(m) for t, m in details.items()} == {t: sorted(m) for t, m in merges.items() if m}
+    report = {r.transcript_id: (r.merges, r.original_segments, r.net_reduction) for r in refine.merge_report(df).collect()}
+    assert report == {t: (len(m), 2 * len(m), len(m)) for t, m in merges.items() if m}
 
 
 def test_streaming(spark, tmp_path):

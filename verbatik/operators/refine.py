@@ -165,17 +165,19 @@ def _fits(a: dict, b: dict) -> bool:
     return score + (len(a["text"].split()) < FEW_WORDS) + (b["start_s"] - a["end_s"] < SHORT_GAP_S) >= 3
 
 
-def _settle(island: list[dict]) -> list[dict]:
-    """Greedy passes over one island until nothing merges; n counts the parts of a segment."""
+def _settle(island: list[dict], merges: list | None = None) -> list[dict]:
+    """Greedy passes over one island until nothing merges; n counts the parts of a segment. Merges are noted as (a, b, merged)."""
     changed = True
     while changed:
         out, at, changed = [], 0, False
         while at < len(island):
             cur = island[at]
             if at + 1 < len(island) and _fits(cur, island[at + 1]):
-                b = island[at + 1]
-                lead = " " if cur["text"].startswith(" ") else ""
-                cur = cur | {"end_s": b["end_s"], "text": lead + cur["text"].strip() + " " + b["text"].strip(), "n": cur["n"] + b["n"]}
+                a, b = cur, island[at + 1]
+                lead = " " if a["text"].startswith(" ") else ""
+                cur = a | {"end_s": b["end_s"], "text": lead + a["text"].strip() + " " + b["text"].strip(), "n": a["n"] + b["n"]}
+                if merges is not None:
+                    merges.append((a, b, cur))
                 at, changed = at + 1, True
             out.append(cur)
             at += 1
@@ -183,21 +185,35 @@ def _settle(island: list[dict]) -> list[dict]:
     return island
 
 
-def merge_fixpoint(s: DataFrame) -> DataFrame:
-    """Merge passes until nothing changes. Adds n_merged, the segments that make up each one.
+_MERGE_COLUMNS = ["transcript_id", "pos", "id", "start_s", "end_s", "text"]
+
+
+def _islands(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments that merge with none, and the others as lists l, one an island.
 
-    Merging never makes an edge fit that didn't before: a longer segment with more words scores no
-    higher and leaves less room. So the runs of edges that fit at first are islands that settle
-    each for itself, and one shuffle does for all passes. Islands of one segment, nearly all, stay
-    in the JVM; a long transcript is many small islands.
+    While times don't go backward, merging never makes an edge fit that didn't before: a longer
+    segment with more words scores no higher and leaves less room. So the runs of edges that fit at
+    first are islands that settle each for itself, and one shuffle does for all passes. A transcript
+    in which a fitting edge steps back, in starts or in ends, is one island.
     """
+    nxt = lambda c: F.lead(c).over(in_order())
     e = merge_edges(s).withColumn("_e", F.col("merge").cast("int"))
-    e = e.withColumn("_island", F.sum(1 - F.col("_e")).over(in_order()) - (1 - F.col("_e"))).drop("merge")
-    cols = ["transcript_id", "pos", "id", "start_s", "end_s", "text"]
-    alone = (F.col("_e") == 0) & F.coalesce(F.lag("_e").over(in_order()) == 0, F.lit(True))
+    back = F.col("merge") & ((nxt("start_s") < F.col("start_s")) | (nxt("end_s") < F.col("end_s")))
+    e = e.withColumn("_back", F.coalesce(back, F.lit(False))).withColumn("_whole", F.max("_back").over(Window.partitionBy("transcript_id")))
+    e = e.withColumn("_island", F.when(F.col("_whole"), -1).otherwise(F.sum(1 - F.col("_e")).over(in_order()) - (1 - F.col("_e")))).drop("merge")
+    alone = ~F.col("_whole") & (F.col("_e") == 0) & F.coalesce(F.lag("_e").over(in_order()) == 0, F.lit(True))
     e = e.withColumn("_alone", alone)
-    single = e.where("_alone").select(*cols, F.lit(1).alias("n_merged"))
-    lists = e.where("not _alone").groupBy("transcript_id", "_island").agg(F.array_sort(F.collect_list(F.struct(*cols[1:]))).alias("l"))
+    lists = e.where("not _alone").groupBy("transcript_id", "_island").agg(F.array_sort(F.collect_list(F.struct(*_MERGE_COLUMNS[1:]))).alias("l"))
+    return e.where("_alone").select(*_MERGE_COLUMNS), lists.select("transcript_id", "l")
+
+
+def merge_fixpoint(s: DataFrame) -> DataFrame:
+    """Merge passes until nothing changes. Adds n_merged, the segments that make up each one.
+
+    Islands of one segment, nearly all, stay in the JVM; a long transcript is many small islands.
+    """
+    cols = _MERGE_COLUMNS
+    single, lists = _islands(s)
     schema = T.StructType([s.schema[c] for c in cols]).add("n_merged", T.IntegerType())
 
     def run(batches):
@@ -210,7 +226,34 @@ def merge_fixpoint(s: DataFrame) -> DataFrame:
             arrays = [pa.array([r[c] for r in rows], b.schema.field("l").type.value_type.field(c).type) for c in cols[1:]]
             yield pa.RecordBatch.from_arrays([b.column("transcript_id").take(pa.array(at, pa.int64())), *arrays, pa.array([r["n"] for r in rows], pa.int32())], [*cols, "n_merged"])
 
-    return single.union(lists.select("transcript_id", "l").mapInArrow(run, schema))
+    return single.withColumn("n_merged", F.lit(1)).union(lists.mapInArrow(run, schema))
+
+
+def merge_details(s: DataFrame) -> DataFrame:
+    """Every merge of two segments: transcript_id, pos (of the first), turn (order of merges at that pos), both ids, times and texts, and the merged text."""
+    _, lists = _islands(s)
+    seg = lambda x: [x["id"], x["start_s"], x["end_s"], x["text"]]
+    names = ["pos", "turn", "first_id", "first_start_s", "first_end_s", "first_text", "second_id", "second_start_s", "second_end_s", "second_text", "merged_text"]
+    schema = T.StructType([s.schema["transcript_id"], s.schema["pos"]]).add("turn", T.IntegerType())
+    for name in names[2:]:
+        schema = schema.add(name, "string" if name.endswith("text") else "double")
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, island in enumerate(b.column("l").to_pylist()):
+                merges: list = []
+                _settle([x | {"n": 1} for x in island], merges)
+                turns: dict = {}
+                for first, second, merged in merges:
+                    turns[first["pos"]] = turn = turns.get(first["pos"], 0) + 1
+                    at.append(i)
+                    rows.append([first["pos"], turn, *seg(first), *seg(second), merged["text"]])
+            kinds = [b.schema.field("l").type.value_type.field("pos").type, pa.int32(), *([pa.float64()] * 3 + [pa.string()]) * 2, pa.string()]
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column("transcript_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["transcript_id", *names])
+
+    return lists.mapInArrow(run, schema)
 
 
 def with_sentences(s: DataFrame) -> DataFrame:
@@ -263,12 +306,16 @@ def renumber(s: DataFrame) -> DataFrame:
     return s.withColumn("pos", F.row_number().over(w) - 1).drop("part")
 
 
-def refine(s: DataFrame) -> DataFrame:
-    """All steps in their fixed order; columns of segments."""
+def cleaned(s: DataFrame) -> DataFrame:
+    """The steps of refine() before merging."""
     s = drop_duplicates(strip_leading(drop_punctuation_only(drop_empty(s))))
     s = remove_repeated_words(fix_punctuation(s)).drop("n_words_removed")
-    s = remove_char_patterns(remove_word_runs(s).drop("n_runs_removed"))
-    s = split_blocks(merge_fixpoint(s).drop("n_merged")).drop("n_parts")
+    return remove_char_patterns(remove_word_runs(s).drop("n_runs_removed"))
+
+
+def refine(s: DataFrame) -> DataFrame:
+    """All steps in their fixed order; columns of segments."""
+    s = split_blocks(merge_fixpoint(cleaned(s)).drop("n_merged")).drop("n_parts")
     return renumber(s).select("transcript_id", "pos", "id", "start_s", "end_s", "text")
 
 
@@ -310,9 +357,16 @@ def statistics(s: DataFrame) -> DataFrame:
 
 
 def merge_report(s: DataFrame) -> DataFrame:
-    """Totals of merging for each transcript: merges, segments that went into them, net reduction."""
+    """Totals of merging for each transcript. A merge joins two segments, so a chain of three has two: merges, segments that went into them, net reduction."""
     m = merge_fixpoint(s).where("n_merged > 1")
-    return m.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("merges"), F.sum("n_merged").alias("original_segments"), F.sum(F.col("n_merged") - 1).alias("net_reduction"))
+    merges = F.sum(F.col("n_merged") - 1)
+    return m.groupBy("transcript_id").agg(merges.alias("merges"), (2 * merges).alias("original_segments"), merges.alias("net_reduction"))
+
+
+def split_details(s: DataFrame) -> DataFrame:
+    """Every split: transcript_id, pos, the block (id, start_s, end_s, text) and its parts in order."""
+    parts = split_blocks(s).where("n_parts > 1").groupBy("transcript_id", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "id", "start_s", "end_s", "text"))).alias("parts"))
+    return s.select("transcript_id", "pos", "id", "start_s", "end_s", "text").join(parts, ["transcript_id", "pos"])
 
 
 def split_report(s: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def documents(c: DataFrame) -> DataFrame:
 
 
 def write(c: DataFrame, path: str) -> None:
-    """One subtitle file a transcript below path/transcript_id=.../."""
+    """One table of documents: transcript_id and srt."""
+    documents(c).select("transcript_id", F.regexp_replace("srt", "\n$", "").alias("srt")).write.parquet(path)
+
+
+def export(c: DataFrame, path: str) -> None:
+    """One subtitle file a transcript, below path/transcript_id=.../; for as many transcripts as one wants folders."""
     docs = documents(c).select("transcript_id", F.regexp_replace("srt", "\n$", "").alias("value"))
     docs.write.partitionBy("transcript_id").text(path)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,17 +65,21 @@ def batches(items: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
 
 
 def prompts(b: DataFrame, template: str, summary: Column | None = None) -> DataFrame:
-    """Adds prompt: the template with {summary}, {context} and {segments} filled in.
+    """Adds prompt: the template with {summary}, {context} and {segments} filled in; and retry_prompt, with retry_context as context.
 
     Without a summary its heading and line are left out.
     """
     if summary is None:
         template = re.sub(SUMMARY_BLOCK, "\n", template).replace("{summary}", "")
-    prompt = F.lit(template)
-    for name, value in (("{summary}", summary), ("{context}", F.col("context")), ("{segments}", F.to_json("items"))):
-        if value is not None:
-            prompt = F.replace(prompt, F.lit(name), value)
-    return b.withColumn("prompt", prompt)
+
+    def filled(context: str) -> Column:
+        prompt = F.lit(template)
+        for name, value in (("{summary}", summary), ("{context}", F.col(context)), ("{segments}", F.to_json("items"))):
+            if value is not None:
+                prompt = F.replace(prompt, F.lit(name), value)
+        return prompt
+
+    return b.withColumn("prompt", filled("context")).withColumn("retry_prompt", filled("retry_context"))
 
 
 def halves(b: DataFrame) -> DataFrame:
@@ -176,81 +184,118 @@ def validate(df: DataFrame) -> DataFrame:
     return fence(p.drop("_count", "_form", "_sense", "_bad"))
 
 
+_BATCH = ["transcript_id", "batch_id"]
+
+
 def cached_responses(responses: DataFrame) -> DataFrame:
-    """The newest valid response of each batch: batch_id, raw_response, items, parsed.
+    """The newest valid response of each batch: transcript_id, batch_id, raw_response, items, parsed.
 
-    responses: batch_id, items, raw_response, written_at, name.
+    responses: transcript_id, batch_id, items, raw_response, written_at, name. Batch ids repeat from
+    transcript to transcript.
     """
     good = validate(responses).where("error_code is null")
-    w = Window.partitionBy("batch_id").orderBy(F.desc("written_at"), F.desc("name"))
+    w = Window.partitionBy(*_BATCH).orderBy(F.desc("written_at"), F.desc("name"))
     return good.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "error_code", "error_pos")
 
 
+def _translated(c: str) -> Column:
+    return F.transform(c, lambda x: F.struct(x["index"].cast("bigint").alias("index"), x["zh"].alias("zh")))
+
+
 def assemble_halves(responses: DataFrame) -> DataFrame:
     """Translations of each batch that has a valid response, or valid responses of both halves.
 
-    Columns batch_id, zh (array of index, zh in order). Halves may themselves be halved.
+    Columns transcript_id, batch_id, zh (array of index, zh in order). Halves may themselves be halved.
     """
-    got = cached_responses(responses).select("batch_id", F.transform("parsed.items", lambda x: F.struct(x["index"].cast("bigint").alias("index"), x["zh"].alias("zh"))).alias("zh"))
+    got = cached_responses(responses).select(*_BATCH, _translated("parsed.items").alias("zh"))
     depth = responses.agg(F.max(F.length(F.regexp_extract("batch_id", "((_[ab])*)$", 1)) / 2)).first()[0] or 0
     for level in range(int(depth), 0, -1):
         at = F.length(F.regexp_extract("batch_id", "((_[ab])*)$", 1)) == 2 * level
         parent = F.expr("substring(batch_id, 1, length(batch_id) - 2)")
-        both = got.where(at).groupBy(parent.alias("batch_id")).agg(F.max(F.when(F.endswith("batch_id", F.lit("_a")), F.col("zh"))).alias("a"), F.max(F.when(F.endswith("batch_id", F.lit("_b")), F.col("zh"))).alias("b"))
-        whole = both.where("a is not null and b is not null").select("batch_id", F.concat("a", "b").alias("zh"))
-        got = got.where(~at).unionByName(whole.join(got.where(~at), "batch_id", "left_anti"))
+        half = lambda x: F.max(F.when(F.endswith("batch_id", F.lit(x)), F.col("zh")))
+        both = got.where(at).groupBy("transcript_id", parent.alias("batch_id")).agg(half("_a").alias("a"), half("_b").alias("b"))
+        whole = both.where("a is not null and b is not null").select(*_BATCH, F.concat("a", "b").alias("zh"))
+        got = got.where(~at).unionByName(whole.join(got.where(~at), _BATCH, "left_anti"))
     return got
 
 
-Provider = Callable[[str, list[dict], str], str]
+#: A provider gets a batch, a dict of batch_id, items (index, fr), context and prompt (null without a template), and gives the model's answer.
+Provider = Callable[[dict], str]
+RESPONSE = ["transcript_id", "batch_id", "items", "raw_response", "written_at", "name", "depth", "attempt"]
 
 
-def call_provider(b: DataFrame, provider: Provider, attempts: int = 1) -> DataFrame:
-    """Adds raw_response and attempt: the provider's answer, asked again while it doesn't parse to one item each.
+def call_provider(b: DataFrame, provider: Provider) -> DataFrame:
+    """Adds raw_response: the provider's answer, null where it raised.
 
-    provider(batch_id, items, context) is loaded with the function on each worker and called batch by batch.
+    The provider is loaded with the function on each worker and called batch by batch.
     """
-    kind = T.StructType().add("raw_response", "string").add("attempt", T.IntegerType())
 
-    def run(ids, items, context, retry):
+    def run(ids, items, context, prompt):
         out = []
-        for i, x, c, r in zip(ids.to_pylist(), items.to_pylist(), context.to_pylist(), retry.to_pylist(), strict=True):
-            answer = None
-            for n in range(1, attempts + 1):
-                answer = provider(i, x, c if n == 1 else r)
-                got = _parse(answer)
-                if got["error"] is None and len(got["items"]) == len(x):
-                    break
-            out.append({"raw_response": answer, "attempt": n})
-        return pa.array(out, pa.struct([("raw_response", pa.string()), ("attempt", pa.int32())]))
+        for i, x, c, p in zip(*(a.to_pylist() for a in (ids, items, context, prompt)), strict=True):
+            try:
+                out.append(provider({"batch_id": i, "items": x, "context": c, "prompt": p}))
+            except Exception:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    prompt = F.col("prompt") if "prompt" in b.columns else F.lit(None).cast("string")
+    # fenced: an answer that is used twice would be asked for twice
+    return fence(b.withColumn("raw_response", F.arrow_udf(run, T.StringType())(F.col("batch_id"), F.col("items"), F.col("context"), prompt)))
+
 
-    called = b.withColumn("_r", F.arrow_udf(run, kind)("batch_id", "items", "context", "retry_context"))
-    return called.withColumn("raw_response", F.col("_r.raw_response")).withColumn("attempt", F.col("_r.attempt")).drop("_r")
+@dataclass(frozen=True)
+class Answers:
+    """translations: transcript_id, index, zh. failed: transcript_id, batch_id, error_code of single items that no attempt could do."""
 
+    translations: DataFrame
+    failed: DataFrame
 
-def translate_batches(b: DataFrame, provider: Provider, attempts: int = 1, store: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Translations of all batches: transcript_id, index, zh. Failed batches are halved and asked again.
 
-    A batch of one item that fails ends the run with an error, as nothing smaller can be tried.
-    store(df, depth) makes the answers of a round durable (default: a written table in the shared
-    folder), so that a lost executor doesn't ask the provider again.
+def translate_batches(b: DataFrame, provider: Provider, attempts: int = 1, delay: float = 0.0, cache: DataFrame | None = None, store: Callable[[DataFrame, str], DataFrame] | None = None) -> Answers:
+    """Translations of all batches. A batch that fails, by any check, is asked again after `delay` seconds; after all attempts its halves are.
+
+    cache: responses (RESPONSE) of an earlier run. A batch with a valid one isn't asked; one whose
+    halves were asked goes on with them. A failed single item fails its transcript, not the run.
+    store(df, name) makes the answers of a round durable (default: a written table in the shared
+    folder), so that neither a lost executor nor a resumed run asks the provider again.
     """
     from verbatik.plans.tables import written
 
-    store = store or (lambda df, depth: written(df, f"responses-{depth}"))
-    done, depth = None, 0
-    while True:
-        answers = store(validate(call_provider(b, provider, attempts)), depth)
-        good = answers.where("error_code is null").select("transcript_id", F.explode(F.arrays_zip(F.col("items").alias("i"), F.col("parsed.items").alias("o"))).alias("x"))
-        good = good.select("transcript_id", F.col("x.i.index").alias("index"), tx.strip(F.col("x.o.zh")).alias("zh"))
-        done = good if done is None else done.union(good)
-        bad = answers.where("error_code is not null")
-        if bad.isEmpty():
-            return done
-        lost = bad.where(F.size("items") == 1).select("batch_id", "error_code").limit(1).collect()
-        if lost:
-            raise RuntimeError(f"{lost[0].batch_id}: {lost[0].error_code}")
-        b, depth = halves(bad.drop("raw_response", "attempt", "parsed", "error_code", "error_pos")), depth + 1
+    store = store or (lambda df, name: written(df, name))
+    told = lambda v, c: v.select("transcript_id", F.explode(F.arrays_zip(F.col("items").alias("i"), F.col(c).alias("o"))).alias("x")).select("transcript_id", F.col("x.i.index").alias("index"), tx.strip(F.col("x.o.zh")).alias("zh"))
+    cols, done, failed = b.columns, [], []
+    for depth in count():
+        todo, halved = b, None
+        if cache is not None:
+            known = cached_responses(cache.drop("items").join(todo.select(*_BATCH, "items"), _BATCH))
+            done.append(told(known, "parsed.items"))
+            todo = todo.join(known.select(*_BATCH), _BATCH, "left_anti").select(*cols)
+            parents = cache.where(F.col("batch_id").rlike("_[ab]$")).select("transcript_id", F.expr("substring(batch_id, 1, length(batch_id) - 2)").alias("batch_id")).distinct()
+            halved = todo.where(F.size("items") > 1).join(parents, _BATCH, "left_semi").select(*cols)
+            todo = todo.join(halved.select(*_BATCH), _BATCH, "left_anti").select(*cols)
+        codes = None
+        for attempt in range(1, attempts + 1):
+            if attempt > 1:
+                if todo.isEmpty():
+                    break
+                time.sleep(delay)
+            asked = call_provider(todo, provider)
+            asked = asked.withColumns({"written_at": F.current_timestamp(), "name": F.format_string("%s_%02d", F.col("batch_id"), F.lit(attempt)), "depth": F.lit(depth), "attempt": F.lit(attempt)})
+            answers = store(validate(asked), f"responses-{depth}-{attempt}")
+            done.append(told(answers.where("error_code is null"), "parsed.items"))
+            codes = answers.where("error_code is not null")
+            # later attempts see the batch's own texts as context
+            todo = codes.select(*cols)
+            if "retry_prompt" in cols:
+                todo = todo.withColumn("prompt", F.col("retry_prompt"))
+            todo = todo.withColumn("context", F.col("retry_context"))
+        failed.append(codes.where(F.size("items") == 1).select(*_BATCH, "error_code"))
+        rest = todo.where(F.size("items") > 1)
+        b = halves(rest if halved is None else rest.unionByName(halved)).select(*cols)
+        if b.isEmpty():
+            return Answers(reduce(DataFrame.union, done), reduce(DataFrame.union, failed))
+    raise AssertionError
 
 
 def merge_translations(s: DataFrame, translations: DataFrame) -> DataFrame:

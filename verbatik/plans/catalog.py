@@ -67,10 +67,11 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("raw_response", raw)
 
 
-def _provider(batch_id: str, items: list[dict], context: str) -> str:
+def _provider(batch: dict) -> str:
     """Fails on batches of more than five items that hold a long text, so that batches get halved."""
     import json
 
+    items = batch["items"]
     if len(items) > 5 and any(len(x["fr"]) > 300 for x in items):
         return "too long"
     return json.dumps([{"index": x["index"], "zh": "译" + x["fr"]} for x in items], ensure_ascii=False)
@@ -112,9 +113,9 @@ def _srt(spark, d):
 def _cached(spark, d):
     r = responses(spark, d).withColumn("attempts", F.explode(F.sequence(F.lit(0), F.lit(2))))
     raw = F.when(F.col("attempts") == 2, F.lit("[]")).otherwise(F.col("raw_response"))
-    r = r.withColumn("raw_response", raw).withColumn("batch_id", F.concat(F.col("transcript_id").cast("string"), F.lit("_"), F.col("batch_id")))
+    r = r.withColumn("raw_response", raw)
     r = r.withColumn("written_at", F.col("attempts")).withColumn("name", F.concat("batch_id", F.lit("_retry_"), F.col("attempts").cast("string")))
-    return translate.cached_responses(r).select("batch_id", "name", F.size("parsed.items").alias("n"))
+    return translate.cached_responses(r).select("transcript_id", "batch_id", "name", F.size("parsed.items").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -151,7 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_valid": lambda s, d: translate.all_valid(translations(s, d)),
     "response_validate": q("transcript_id batch_no error_code error_pos", lambda s, d: translate.validate(responses(s, d))),
     "cached_response": _cached,
-    "batch_translate": lambda s, d: translate.translate_batches(translate.batches(items(s, d)), _provider),
+    "batch_translate": lambda s, d: translate.translate_batches(translate.batches(items(s, d)), _provider).translations,
     "merge_translations": q("transcript_id pos id text zh", lambda s, d: translate.merge_translations(translate.rekey(translate.translatable(seg(s, d))), translations(s, d).where("index % 5 != 3").withColumn("pos", F.col("n") - 1))),
     "coverage": lambda s, d: translate.coverage(translations(s, d)),
     "summaries": lambda s, d: summary.summarize(_transcripts(s, d), _summarizer, 300, 40),
@@ -190,7 +191,9 @@ lines AS (
 ), summed AS (
     SELECT *, (sum(dur + gap) OVER (PARTITION BY transcript_id ORDER BY pos) - gap)::BIGINT AS upto FROM timed
 ), seg AS (
-    SELECT transcript_id, pos, pos::DOUBLE AS id, (upto - dur) / 1000.0::DOUBLE AS start_s, upto / 1000.0::DOUBLE AS end_s, text FROM summed
+    SELECT transcript_id, pos, pos::DOUBLE AS id, greatest(upto - dur - CASE step WHEN 0 THEN 1500 ELSE 0 END, 0) / 1000.0::DOUBLE AS start_s,
+           greatest(upto - CASE step WHEN 0 THEN 1500 WHEN 9 THEN dur - 40 ELSE 0 END, 0) / 1000.0::DOUBLE AS end_s, text
+    FROM (SELECT *, (transcript_id * 11 + pos * 7) % 23 AS step FROM summed)
 ), filled AS (
     SELECT * FROM seg WHERE {_STRIP('text')} <> ''
 ), spoken AS (

@@ -17,7 +17,7 @@ def refine_new_files(spark: SparkSession, source: str, target: str, checkpoint:
     anew, so none is added twice.
     """
     rows = spark.readStream.schema(sg.JSON_TRANSCRIPT).option("multiLine", True).json(source)
-    rows = rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("transcript_id"), "text", "segments")
+    rows = rows.select(F.col("_metadata.file_path").alias("transcript_id"), "text", "segments")
 
     def add(batch: DataFrame, number: int) -> None:
         refine.refine(sg.explode_segments(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")
