@@ -6,6 +6,7 @@ DuckDB's dialect, and shares only the character classes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +119,57 @@ def _cached(spark, d):
     return translate.cached_responses(r).select("transcript_id", "batch_id", "name", F.size("parsed.items").alias("n"))
 
 
+def _outputs(spark, d):
+    """State events whose completed steps name a file; and the files that are there, two of three."""
+    name = F.concat(F.col("transcript_id").cast("string"), F.lit("/"), F.col("step"), F.lit(".json"))
+    events = state_events(spark, d).withColumn("output", F.when(F.col("status") == "completed", name))
+    files = events.where("output is not null and (transcript_id + seq) % 3 > 0").select(F.col("output").alias("path")).distinct()
+    return events, files
+
+
+def _round_trip(spark, d):
+    """Segments as one JSON file a transcript in the shared folder, read again and taken apart."""
+    from verbatik.plans.tables import stage_dir
+
+    path = f"{stage_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    rows = sg.to_transcripts(seg(spark, d)).select("transcript_id", "text", "segments")
+    rows.select(F.to_json(F.struct("text", "segments")).alias("value"), "transcript_id").repartition("transcript_id").write.partitionBy("transcript_id").option("maxRecordsPerFile", 1).text(path)
+    back = sg.explode_segments(sg.read_transcripts(spark, path))
+    number = F.regexp_extract("transcript_id", "transcript_id=(-?[0-9]+)/", 1).cast("bigint")
+    return back.select(number.alias("transcript_id"), "pos", "id", "start_s", "end_s", "text")
+
+
+def _media(spark, d):
+    return table(spark, d, "pages").select("page_id", F.to_json(F.struct(F.col("url").alias("title"), (F.col("page_id") * 1.5).alias("duration"), F.array(F.struct(F.lit("a").alias("format_id"), F.lit("none").alias("vcodec")), F.struct(F.col("page_id").cast("string").alias("format_id"), F.when(F.col("page_id") % 2 == 0, "h264").otherwise("none").alias("vcodec"))).alias("formats"))).alias("info"))
+
+
+def _predictions(spark, d):
+    """Word spans of segments, and marks predicted for stretches of nine characters, every seven."""
+    spans = seg(spark, d).select("transcript_id", "pos", "text").withColumn("w", tx.words(F.col("text")))
+    key = (F.col("transcript_id") * 100_000 + F.col("pos")).alias("transcript_id")
+    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.length(F.array_join(F.slice("w", F.lit(1), i), " ")))
+    spans = spans.where((F.size("w") > 0) & (F.size("w") <= 60)).withColumn("e", ends)
+    words = spans.select(key, F.posexplode("e").alias("word", "w_end"), "w").select("transcript_id", "word", (F.col("w_end") - F.length(F.get("w", F.col("word")))).alias("w_start"), "w_end")
+    starts = spans.select(key, F.posexplode(F.sequence(F.lit(0), F.element_at("e", -1) - 1, F.lit(7))).alias("n", "start"))
+    marks = F.array(*map(F.lit, (".", ",", "?", "-", ":", "LABEL_,", "LABEL_0")))
+    return words, starts.select("transcript_id", "n", "start", (F.col("start") + 9).alias("end"), tx.normalize_label(F.get(marks, F.pmod("n", F.lit(7)))).alias("label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "state_initial": lambda s, d: state.initial(state_events(s, d).select("transcript_id").distinct(), True).select("transcript_id", "step", "status"),
+    "missing_outputs": lambda s, d: state.missing_outputs(*_outputs(s, d)),
+    "resume_with_files": lambda s, d: state.resume_point(*_outputs(s, d)),
+    "resume_prepared": lambda s, d: state.latest(state.prepare_resume(state_events(s, d), "2030-01-01", summary=False)).select("transcript_id", "step", "status"),
+    "running_transcripts": lambda s, d: state.running(state_events(s, d)),
+    "text_counts": lambda s, d: translate.text_counts(seg(s, d)).select("transcript_id", "pos", "n_chars_text", "n_words_text"),
+    "transcript_files": _round_trip,
+    "transcript_clean": lambda s, d: sg.explode_segments(sg.clean(sg.to_transcripts(seg(s, d).withColumn("zh", F.lit("x")), ("zh",))).withColumn("segments", F.transform("segments", lambda x: x.withField("zh", F.lit(None).cast("string"))))).select("transcript_id", "pos", "text", "zh"),
+    "video_info": lambda s, d: sg.video_formats(_media(s, d)).select("title", "duration", F.size("formats").alias("formats")),
+    "newest_file": lambda s, d: sg.newest(state_events(s, d).select(F.concat(F.lit("f"), F.col("seq").cast("string")).alias("path"), F.col("at").alias("modificationTime"))),
+    "word_marks": lambda s, d: punctuation.overlap(*_predictions(s, d)),
+    "split_parts": lambda s, d: refine.split_details(seg(s, d)).select("transcript_id", "pos", "id", "text", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda x: x["text"]), "|").alias("texts")),
+    "fallback_summary": lambda s, d: summary.summarize(_transcripts(s, d), None),
+    "validation": lambda s, d: translations(s, d).select("transcript_id", F.col("index"), translate.is_valid_translation(F.col("zh"), F.col("fr")).alias("valid")).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("valid").cast("bigint")).alias("valid")),
     "seg_scan": q("transcript_id pos id start_s end_s text", seg),
     "turn_scan": q("transcript_id pos start_s end_s text", lambda s, d: sg.conversation_segments(table(s, d, "conversations"))),
     "drop_empty": q("transcript_id pos text", lambda s, d: refine.drop_empty(seg(s, d))),
@@ -233,12 +284,89 @@ def _pass(source: str, name: str) -> str:
 )"""
 
 
+#: A word between white space without edge marks, lower-cased.
+_KEY = lambda x: f"lower(regexp_replace({x}, '^[.,!?;:]+|[.,!?;:]+$', '', 'g'))"
+_MARK = f"[^{W}{WS}]"
+
+
+def _punct(source: str, name: str) -> str:
+    """CTEs of source with its marks normalised. Where a rule repeats what it found, every run of marks in the text is tried in turn."""
+    same = f"regexp_escape(g) || '(?:[{WS}]+' || regexp_escape(g) || '){{2,}}'"
+    return f"""{name}0 AS (
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '[{WS}]+([!?])', '\\1', 'g'), '[.][.][.](?:[{WS}]+[.][.][.])+', '...', 'g'), '[.]{{4,}}', '...', 'g') AS t FROM {source}
+), {name}1 AS (
+    SELECT *, list_reduce(list_distinct(regexp_extract_all(t, '{_MARK}+')), lambda acc, g: regexp_replace(acc, {same}, replace(g, chr(92), chr(92) || chr(92)), 'g'), t) AS u FROM {name}0
+), {name}2 AS (
+    SELECT *, list_reduce(list_distinct(regexp_extract_all(u, '[^{W}{WS}.]')), lambda acc, g: regexp_replace(acc, regexp_escape(g) || '{{3,}}', replace(g, chr(92), chr(92) || chr(92)), 'g'), u) AS v FROM {name}1
+), {name} AS (SELECT * EXCLUDE (t, u, v) REPLACE ({_STRIP(f"regexp_replace(v, '[{WS}]{{2,}}', ' ', 'g')")} AS text) FROM {name}2)"""
+
+
+def _repeated(source: str, name: str) -> str:
+    """CTEs of source with frequent words once; n_words_removed."""
+    return f"""{name}w AS (SELECT transcript_id, pos, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT transcript_id, pos, {_WORDS('text')} AS l FROM {source})),
+    {name}c AS (SELECT *, count(*) OVER (PARTITION BY transcript_id, pos, k) AS n, row_number() OVER (PARTITION BY transcript_id, pos, k ORDER BY i) AS r FROM (SELECT *, {_KEY('w')} AS k FROM {name}w)),
+    {name}a AS (SELECT transcript_id, pos, string_agg(w, ' ' ORDER BY i) FILTER (n < 4 OR r = 1) AS new, count(*) FILTER (n >= 4 AND r > 1) AS removed FROM {name}c GROUP BY transcript_id, pos),
+    {name} AS (SELECT s.* REPLACE (CASE WHEN removed > 0 THEN new ELSE text END AS text), coalesce(removed, 0)::INTEGER AS n_words_removed FROM {source} s LEFT JOIN {name}a USING (transcript_id, pos))"""
+
+
+def _runs(source: str, name: str) -> str:
+    """CTEs of source without near-consecutive runs of a word; n_runs_removed. Only texts with a key more than five times are gone through, a run at a step."""
+    m = "coalesce(list_position(list_transform(k[i + 3 :], lambda y: y <> k[i]), true) - 1, greatest(len(k) - i - 2, 0))"
+    same = f"1 + coalesce(k[i + 1] = k[i], false)::INTEGER + coalesce(k[i + 2] = k[i], false)::INTEGER + {m}"
+    near = "k[i] <> '' AND k[i + 3] = k[i] AND k[i + 4] = k[i]"
+    return f"""{name}l AS (
+    SELECT transcript_id, pos, w, list_transform(w, lambda x: lower(trim(x, ' .!?,:;'))) AS k FROM (SELECT transcript_id, pos, {_WORDS('text')} AS w FROM {source})
+), {name}f AS (
+    SELECT * FROM {name}l WHERE list_max(map_values(list_histogram(k))) > 5
+), {name}r AS (
+    SELECT transcript_id, pos, w, k, 1::BIGINT AS here, 0 AS gone FROM {name}f
+    UNION ALL
+    SELECT transcript_id, pos, w[: i - 1] || w[i + 3 + {m} :], k[: i - 1] || k[i + 3 + {m} :], i, gone + 1
+    FROM (SELECT *, list_filter(list_filter(range(here, len(k) + 1), lambda i: {near}), lambda i: {same} > 5)[1] AS i FROM {name}r) WHERE i IS NOT NULL
+), {name}e AS (
+    SELECT transcript_id, pos, max(gone) AS gone, arg_max(w, gone) AS w FROM {name}r GROUP BY transcript_id, pos
+), {name}n AS (
+    SELECT s.* REPLACE (CASE WHEN gone > 0 THEN array_to_string(e.w, ' ') ELSE text END AS text), coalesce(gone, 0)::INTEGER AS n_runs_removed FROM {source} s LEFT JOIN {name}e e USING (transcript_id, pos)
+), {name} AS (SELECT * FROM {name}n WHERE {_STRIP('text')} <> '')"""
+
+
+def _patterns(source: str, name: str) -> str:
+    """CTEs of source without patterns of 2 to 15 characters that come five times or more; has_pattern.
+
+    s_p is whether a character equals the one p places on, r_p for how many characters from here that
+    holds; a pattern of p characters begins where it holds for 4 p characters.
+    """
+    lags = ", ".join(f"coalesce(c = lead(c, {p}) OVER o, false) AS s{p}" for p in range(2, 16))
+    runs = ", ".join(f"min(CASE WHEN NOT s{p} THEN i END) OVER b - i AS r{p}" for p in range(2, 16))
+    first = " ".join(f"WHEN r{p} >= {4 * p} THEN {p}" for p in range(2, 16))
+    run = " ".join(f"WHEN r{p} >= {4 * p} THEN r{p}" for p in range(2, 16))
+    return f"""{name}c AS (
+    SELECT transcript_id, pos, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT transcript_id, pos, string_split(text, '') AS l FROM {source})
+), {name}s AS (
+    SELECT transcript_id, pos, i, {lags} FROM {name}c WINDOW o AS (PARTITION BY transcript_id, pos ORDER BY i)
+), {name}h AS (
+    SELECT transcript_id, pos, i, {runs} FROM {name}s WINDOW b AS (PARTITION BY transcript_id, pos ORDER BY i DESC)
+), {name}p AS (
+    SELECT * FROM (SELECT transcript_id, pos, i, CASE {first} END AS p, CASE {run} END AS run FROM {name}h) WHERE p IS NOT NULL
+), {name}r AS (
+    SELECT transcript_id, pos, 1::BIGINT AS here, 0::BIGINT AS lo FROM (SELECT DISTINCT transcript_id, pos FROM {name}p)
+    UNION ALL
+    SELECT r.transcript_id, r.pos, min_by(n.i + n.p * (1 + n.run // n.p), n.i), min(n.i) FROM {name}r r JOIN {name}p n ON n.transcript_id = r.transcript_id AND n.pos = r.pos AND n.i >= r.here GROUP BY r.transcript_id, r.pos
+), {name}g AS (
+    SELECT transcript_id, pos, list(lo ORDER BY lo) AS los, list(here ORDER BY lo) AS ends FROM {name}r GROUP BY transcript_id, pos
+), {name}t AS (
+    SELECT s.*, los IS NOT NULL AS has_pattern, CASE WHEN los IS NULL THEN text ELSE
+        {_STRIP(f"regexp_replace(array_to_string(list_transform(range(1, len(los) + 1), lambda n: substring(text, ends[n], coalesce(los[n + 1], length(text) + 1) - ends[n])), ''), '[{WS}]+', ' ', 'g')")} END AS new
+    FROM {source} s LEFT JOIN {name}g USING (transcript_id, pos)
+), {name} AS (SELECT * EXCLUDE (new) REPLACE (new AS text) FROM {name}t WHERE {_STRIP('new')} <> '')"""
+
+
 def _sql(select: str, *ctes: str) -> str:
-    return "WITH " + ", ".join((_SEG.strip(), *ctes)) + "\n" + select
+    return "WITH RECURSIVE " + ", ".join((_SEG.strip(), *ctes)) + "\n" + select
 
 
-def _passes(n: int) -> list[str]:
-    return [_pass("kept" if k == 0 else f"m{k}", f"m{k + 1}") for k in range(n)]
+def _passes(n: int, source: str = "kept") -> list[str]:
+    return [_pass(source if k == 0 else f"m{k}", f"m{k + 1}") for k in range(n)]
 
 
 _STEPS = "['" + "', '".join(state.STEPS) + "']"
@@ -266,7 +394,7 @@ _BATCH = """b0 AS (SELECT *, ((n - 1) // 10)::INTEGER AS batch_no FROM items), b
     SELECT b.*, coalesce((SELECT string_agg(i.fr, ' ' ORDER BY i.index) FROM items i WHERE i.transcript_id = b.transcript_id AND i.index < b.first AND i.index >= b.first - 3), '') AS context FROM b
 )"""
 _SENT = f"""s0 AS (
-    SELECT *, {_STRIP('text')} AS t FROM seg
+    SELECT *, {_STRIP('text')} AS t FROM blocks
 ), s1 AS (
     SELECT *, starts_with(t, '»') AS quoted, CASE WHEN starts_with(t, '»') THEN {_STRIP('substr(t, 2)')} ELSE t END AS body FROM s0
 ), s2 AS (
@@ -289,7 +417,65 @@ _SENT = f"""s0 AS (
     FROM s6 JOIN s4 USING (transcript_id, pos) WHERE cut
 )"""
 
+_BLOCKS = "blocks AS (SELECT * FROM seg)"
+#: All steps before splitting, of which blocks are the result; single is what a transcript's own copies leave.
+_CLEAN = (
+    f"single AS (SELECT * FROM kept QUALIFY count(*) OVER (PARTITION BY transcript_id, lower({_STRIP('text')})) < 4)", _punct("single", "marked"), _repeated("marked", "once"), _runs("once", "steady"), _patterns("steady", "plain"),
+    *_passes(8, "plain"), "blocks AS (SELECT * FROM m8)", _SENT,
+)
+_RESPONSE = "(transcript_id + batch_no * 3) % 8"
+_PER = lambda source, *aggregates: f"(SELECT transcript_id, {', '.join(aggregates)} FROM {source} GROUP BY transcript_id)"
+
 ORACLE_SQL: dict[str, str] = {
+    "punct_normalise": _sql("SELECT transcript_id, pos, text AS fixed FROM marked", _punct("seg", "marked")),
+    "repetitive_runs": _sql("SELECT transcript_id, pos, text, n_runs_removed FROM steady", _runs("seg", "steady")),
+    "char_patterns": _sql("SELECT transcript_id, pos, text FROM plain", _patterns("seg", "plain")),
+    "merge_report": _sql("SELECT transcript_id, a - b AS merges, 2 * (a - b) AS original_segments, a - b AS net_reduction FROM (SELECT transcript_id, count(*) AS a FROM kept GROUP BY transcript_id) JOIN (SELECT transcript_id, count(*) AS b FROM m8 GROUP BY transcript_id) USING (transcript_id) WHERE a > b", *_passes(8)),
+    "refine_flagship": _sql("SELECT transcript_id, (row_number() OVER (PARTITION BY transcript_id ORDER BY pos, part) - 1)::INTEGER AS pos, id, start_s, end_s, text FROM s7", *_CLEAN),
+    "refine_stats": _sql(f"""SELECT transcript_id, COLUMNS(* EXCLUDE (transcript_id))::BIGINT FROM (
+        SELECT t.transcript_id, coalesce(punctuation_fixed, 0) AS punctuation_fixed, coalesce(b - c, 0) AS segments_merged, coalesce(segments_split, 0) AS segments_split, empty_segments_removed,
+            coalesce(runs + n4 - coalesce(n5, 0) + coalesce(patterns, 0), 0) AS repetitive_patterns_removed, coalesce(leading_spaces_removed, 0) AS leading_spaces_removed, coalesce(n2 - coalesce(n3, 0), 0) AS duplicate_segments_removed,
+            coalesce(repeated_words_removed, 0) AS repeated_words_removed, total_input_segments - empty_segments_removed - coalesce(n2, 0) AS punctuation_only_segments_removed, total_input_segments, coalesce(total_output_segments, 0) AS total_output_segments
+        FROM {_PER('seg', 'count(*) AS total_input_segments', f"count(*) FILTER ({_STRIP('text')} = '') AS empty_segments_removed")} t
+        LEFT JOIN {_PER('spoken', 'count(*) AS n2', "count(*) FILTER (starts_with(text, ' ')) AS leading_spaces_removed")} USING (transcript_id)
+        LEFT JOIN {_PER('single JOIN marked m USING (transcript_id, pos)', 'count(*) AS n3', 'count(*) FILTER (single.text <> m.text) AS punctuation_fixed')} USING (transcript_id)
+        LEFT JOIN {_PER('once', 'count(*) AS n4', 'sum(n_words_removed) AS repeated_words_removed')} USING (transcript_id)
+        LEFT JOIN {_PER('steadyn', 'sum(n_runs_removed) AS runs')} USING (transcript_id) LEFT JOIN {_PER('steady', 'count(*) AS n5')} USING (transcript_id)
+        LEFT JOIN {_PER('plaint', 'count(*) FILTER (has_pattern) AS patterns')} USING (transcript_id) LEFT JOIN {_PER('plain', 'count(*) AS b')} USING (transcript_id)
+        LEFT JOIN {_PER('m8', 'count(*) AS c')} USING (transcript_id) LEFT JOIN {_PER('s7', 'count(*) AS total_output_segments', 'count(*) FILTER (part = 0 AND n_parts > 1) AS segments_split')} USING (transcript_id))""", *_CLEAN),
+    "prompts": _sql("""SELECT transcript_id, batch_no, 'Translate.' || chr(10) || context || chr(10) || '---' || chr(10) || (SELECT to_json(list({'index': i.index, 'fr': i.fr} ORDER BY i.index)) FROM b0 i WHERE i.transcript_id = bc.transcript_id AND i.batch_no = bc.batch_no) AS prompt FROM bc""", _BATCH),
+    "response_validate": _sql(f"""SELECT transcript_id, batch_no, CASE {_RESPONSE} WHEN 2 THEN 'count_mismatch' WHEN 3 THEN 'index_mismatch' WHEN 4 THEN 'no_json' WHEN 6 THEN 'empty_translation' WHEN 7 THEN 'not_a_list' END AS error_code,
+        CASE WHEN {_RESPONSE} IN (3, 6) THEN 0 END AS error_pos FROM b""", _BATCH),
+    "cached_response": _sql(f"SELECT transcript_id, batch_id, batch_id || '_retry_1' AS name, n FROM b WHERE {_RESPONSE} IN (0, 1, 5)", _BATCH),
+    "batch_translate": _sql("SELECT transcript_id, index, '译' || fr AS zh FROM items"),
+    "summaries": _sql(f"""SELECT transcript_id, CASE WHEN n <= 300 THEN 'summary: ' || array_to_string(w[1:20], ' ') WHEN 21 * len(s) > 300 THEN 'reduce: chunk: ' || array_to_string(w[1:19], ' ')
+            ELSE array_to_string(list_transform(s, lambda x: 'chunk: ' || array_to_string(w[x + 1 : x + 20], ' ')), chr(10) || chr(10)) END AS summary,
+        CASE WHEN n <= 300 THEN 'single_pass' ELSE 'map_reduce' END AS strategy, CASE WHEN n <= 300 THEN 1 ELSE len(s) END::INTEGER AS chunk_count, (n > 300 AND 21 * len(s) > 300)::INTEGER AS reduce_passes
+        FROM (SELECT *, len(w) AS n, list_filter(range(0, len(w), 260), lambda x: x = 0 OR x + 40 < len(w)) AS s FROM (SELECT transcript_id, {_WORDS("string_agg(text, ' ' ORDER BY pos)")} AS w FROM seg GROUP BY transcript_id))"""),
+    "fallback_summary": _sql("SELECT transcript_id, '这是一个关于文稿的总结。原文总长度：' || length(string_agg(text, ' ' ORDER BY pos)) || '字符。' AS summary, 'mock' AS strategy, 0 AS chunk_count, 0 AS reduce_passes FROM seg GROUP BY transcript_id"),
+    "token_stream": _sql(f"""SELECT transcript_id, pos, token_pos, token, kind, CASE WHEN kind = 'word' THEN (sum((kind = 'word')::INTEGER) OVER (PARTITION BY transcript_id, pos ORDER BY token_pos) - 1)::INTEGER END AS word_index
+        FROM (SELECT transcript_id, pos, token_pos, token, CASE WHEN regexp_matches(token, '^[{WS}]') THEN 'space' WHEN regexp_matches(token, '^[{tx.LATIN}]') THEN 'word' ELSE 'mark' END AS kind
+        FROM (SELECT transcript_id, pos, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS token_pos FROM (SELECT transcript_id, pos, regexp_extract_all(text, '{tx.TOKEN.replace("'", "''")}') AS l FROM seg)))"""),
+    "split_parts": _sql("SELECT seg.transcript_id, seg.pos, seg.id, seg.text, any_value(n_parts) AS n, string_agg(s7.text, '|' ORDER BY part) AS texts FROM s7 JOIN seg USING (transcript_id, pos) WHERE n_parts > 1 GROUP BY ALL", _BLOCKS, _SENT),
+    "text_counts": _sql(f"SELECT transcript_id, pos, length(text) AS n_chars_text, len({_WORDS('text')})::INTEGER AS n_words_text FROM seg"),
+    "transcript_files": _sql("SELECT transcript_id, pos, id, start_s, end_s, text FROM seg"),
+    "transcript_clean": _sql("SELECT transcript_id, pos, text, NULL::VARCHAR AS zh FROM seg"),
+    "validation": _sql(f"SELECT transcript_id, count(*) AS items, count(*) FILTER ({_VALID}) AS valid FROM (SELECT *, {_STRIP('zh')} AS b FROM trans) GROUP BY transcript_id"),
+    "video_info": "SELECT url AS title, page_id * 1.5::DOUBLE AS duration, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS formats FROM pages",
+    "newest_file": f"WITH {_EVENTS} SELECT 'f' || seq AS path FROM ev ORDER BY ts DESC, 'f' || seq DESC LIMIT 1",
+    "state_initial": f"WITH {_EVENTS} SELECT transcript_id, unnest({_STEPS}) AS step, 'pending' AS status FROM (SELECT DISTINCT transcript_id FROM ev)",
+    "running_transcripts": f"WITH {_EVENTS} SELECT DISTINCT transcript_id FROM cur WHERE status = 'running'",
+    "missing_outputs": f"WITH {_EVENTS}, there AS (SELECT DISTINCT transcript_id, step FROM ev WHERE status = 'completed' AND (transcript_id + seq) % 3 > 0) SELECT transcript_id, step, transcript_id || '/' || step || '.json' AS output FROM cur ANTI JOIN there USING (transcript_id, step) WHERE status = 'completed'",
+    "resume_with_files": f"""WITH {_EVENTS}, there AS (SELECT DISTINCT transcript_id, step, true AS have FROM ev WHERE status = 'completed' AND (transcript_id + seq) % 3 > 0),
+        o AS (SELECT transcript_id, min_by(step, list_position({_STEPS}, step)) AS step FROM cur LEFT JOIN there USING (transcript_id, step) WHERE status NOT IN ('completed', 'skipped') OR (status = 'completed' AND have IS NULL) GROUP BY transcript_id)
+        SELECT t.transcript_id, o.step FROM (SELECT DISTINCT transcript_id FROM cur) t LEFT JOIN o USING (transcript_id)""",
+    "resume_prepared": f"""WITH {_EVENTS}, o AS (SELECT transcript_id, min_by(step, list_position({_STEPS}, step)) AS go FROM cur WHERE status NOT IN ('completed', 'skipped') GROUP BY transcript_id)
+        SELECT transcript_id, step, CASE WHEN step = go THEN 'running' WHEN step = 'summary' AND status NOT IN ('completed', 'skipped') THEN 'skipped' ELSE status END AS status FROM cur LEFT JOIN o USING (transcript_id)""",
+    "word_marks": _sql(f"""SELECT transcript_id, word, max_by(label, n) AS label FROM (
+        SELECT p.transcript_id, p.n, p.label, min(w.word) AS word FROM p JOIN w ON w.transcript_id = p.transcript_id AND p.a < w.w_end AND p.a + 9 > w.w_start GROUP BY ALL) GROUP BY transcript_id, word""", f"""
+        l AS (SELECT transcript_id * 100000 + pos AS transcript_id, w FROM (SELECT transcript_id, pos, {_WORDS('text')} AS w FROM seg) WHERE len(w) BETWEEN 1 AND 60),
+        w AS (SELECT transcript_id, i - 1 AS word, length(array_to_string(w[1:i], ' ')) - length(w[i]) AS w_start, length(array_to_string(w[1:i], ' ')) AS w_end FROM (SELECT transcript_id, w, unnest(range(1, len(w) + 1)) AS i FROM l)),
+        p AS (SELECT transcript_id, a // 7 AS n, a, ['.', ',', '?', '-', ':', ',', ''][a // 7 % 7 + 1] AS label FROM (SELECT transcript_id, unnest(range(0, length(array_to_string(w, ' ')), 7)) AS a FROM l))"""),
     "seg_scan": _sql("SELECT * FROM seg"),
     "turn_scan": f"""WITH t AS (SELECT conv_id AS transcript_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, coalesce(text, '') AS text FROM conversations),
         u AS (SELECT *, 500 * greatest(len({_WORDS('text')}), 1) AS dur FROM t), v AS (SELECT *, (sum(dur) OVER (PARTITION BY transcript_id ORDER BY pos))::BIGINT AS upto FROM u)
@@ -309,12 +495,12 @@ ORACLE_SQL: dict[str, str] = {
     "merge_pass1": _sql("SELECT transcript_id, pos, start_s, end_s, text FROM m1", *_passes(1)),
     "merge_pass3": _sql("SELECT transcript_id, pos, start_s, end_s, text FROM m3", *_passes(3)),
     "merge_fixpoint": _sql("SELECT transcript_id, pos, start_s, end_s, text FROM m8", *_passes(8)),
-    "split_sentences": _sql("SELECT transcript_id, pos, i, sentence FROM s4", _SENT),
-    "split_emit": _sql("SELECT * FROM s7", _SENT),
-    "split_report": _sql("SELECT transcript_id, count(*) AS splits, sum(n_parts)::BIGINT AS created, sum(n_parts - 1)::BIGINT AS net_increase FROM s7 WHERE part = 0 AND n_parts > 1 GROUP BY transcript_id", _SENT),
+    "split_sentences": _sql("SELECT transcript_id, pos, i, sentence FROM s4", _BLOCKS, _SENT),
+    "split_emit": _sql("SELECT * FROM s7", _BLOCKS, _SENT),
+    "split_report": _sql("SELECT transcript_id, count(*) AS splits, sum(n_parts)::BIGINT AS created, sum(n_parts - 1)::BIGINT AS net_increase FROM s7 WHERE part = 0 AND n_parts > 1 GROUP BY transcript_id", _BLOCKS, _SENT),
     "rebuild_text": _sql("SELECT transcript_id, string_agg(text, ' ' ORDER BY pos) AS text FROM seg GROUP BY transcript_id"),
     "translation_filter": _sql("SELECT transcript_id, pos, text FROM usable"),
-    "ordered_rekey": _sql("SELECT transcript_id, (n - 1)::INTEGER AS pos, n::DOUBLE AS id, text FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY id, pos, part) AS n FROM s7)", _SENT),
+    "ordered_rekey": _sql("SELECT transcript_id, (n - 1)::INTEGER AS pos, n::DOUBLE AS id, text FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY id, pos, part) AS n FROM s7)", _BLOCKS, _SENT),
     "translation_format": _sql("SELECT transcript_id, index, fr FROM items"),
     "batches": _sql("SELECT transcript_id, batch_no, batch_id, n, first, context, retry_context FROM bc", _BATCH),
     "batch_halves": _sql("SELECT transcript_id, batch_id || h AS batch_id, CASE h WHEN '_a' THEN n // 2 ELSE n - n // 2 END::INTEGER AS n FROM b, (VALUES ('_a'), ('_b')) v(h) WHERE n > 1", _BATCH),
