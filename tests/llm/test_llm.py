@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -470,7 +471,7 @@ def test_quality_rules(spark):
     trusted = quality_rules.trusted_ids(docs(spark, [(i, 1) for i in range(first, first + 40)] + [(first, 0), (None, 1)], "doc_id bigint, quality int"))
     ids = {r.id for r in trusted.collect()}
     assert ids == set(range(first + 1, first + 40))
-    out = quality_rules.assess(df, trusted)
+    out = quality_rules.assess(df, trusted, prior=0.01)
     got = {r.doc_id: r for r in out.collect()}
     for i, t in rows:
         r, want = got[i], rules_brute(t)
@@ -483,15 +484,33 @@ def test_quality_rules(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_log_ratios_are_those_of_the_counts(spark):
-    rows = [(0, "aaa bbb aaa"), (1, "ccc bbb"), (2, None)]
-    trusted = docs(spark, [(0,)], "id bigint")
+def gram_buckets(text):
+    """Buckets of words and pairs of neighbours, by XXH64 as Spark chains it."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in SPACE.findall(text or "")]
+    chained = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42))
+    return [x % quality_rules.BUCKETS for x in h + [chained(a, b) for a, b in zip(h, h[1:])]]  # noqa: B905
+
+
+def test_log_ratios_of_documents(spark):
+    """Counts, ratios and every document's mean ratio against plain Python."""
+    good, bad = junk_and_prose(30)
+    rows = list(enumerate(odd_texts() + good + bad)) + [(3, "a repeated id"), (None, "no id at all")]
+    first = len(odd_texts())
+    trusted = docs(spark, [(i,) for i in (*range(first, first + 20), 3)], "id bigint")
+    target, corpus = Counter(), Counter()
+    for i, t in rows:
+        corpus.update(gram_buckets(t))
+        if i == 3 or (i is not None and first <= i < first + 20):
+            target.update(gram_buckets(t))
+    n, share = quality_rules.BUCKETS, lambda b: (corpus[b] + 1) / (corpus.total() + quality_rules.BUCKETS)
+    ratio = lambda b: np.log((target[b] + quality_rules.PRIOR * n * share(b)) / (target.total() + quality_rules.PRIOR * n) / share(b))
     counts = {r.bucket: (r.corpus, r.target) for r in quality_rules.bucket_counts(docs(spark, rows), trusted).collect()}
-    assert sum(c for c, _ in counts.values()) == 8 and sum(t for _, t in counts.values()) == 5
-    ratios = quality_rules.log_ratios(docs(spark, rows), trusted)
-    b, (corpus, target) = next(iter(counts.items()))
-    n = quality_rules.BUCKETS
-    assert abs(ratios[b] - (np.log((target + 1) / (5 + n)) - np.log((corpus + 1) / (8 + n)))) < 1e-9
+    assert counts == {b: (c, target[b]) for b, c in corpus.items()}
+    got = quality_rules.assess(docs(spark, rows), trusted).collect()
+    want = {t: np.mean([ratio(b) for b in gram_buckets(t)] or [0.0]) for _, t in rows}
+    assert len(got) == len(rows) and all(abs(r.llr - want[r.text]) < 1e-4 for r in got)
+    none = quality_rules.assess(docs(spark, rows), trusted.limit(0)).collect()
+    assert all(r.llr == 0 for r in none) and all(r.kept == (not r.base_failed) for r in none)
 
 
 # ---- op 8 ----

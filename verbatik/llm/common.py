@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,15 +10,18 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Shared folder used only when the session names none (tests, laptops).
+#: Shared folder used only on a local master whose session names none (tests, laptops).
 FALLBACK_SHARED = "/tmp/checkpoints/verbatik"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors can read: the session's spark.checkpoint.dir."""
+    """Folder that the driver and all executors can read: the session's spark.checkpoint.dir; a cluster has to name one."""
     sc = spark.sparkContext._jsc.sc()
     if sc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or FALLBACK_SHARED)
     return sc.getCheckpointDir().get()
 
 
