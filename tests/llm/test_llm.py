@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -530,14 +531,93 @@ def test_licenses(spark):
     assert licenses.scan_tree(df.limit(0)).count() == 0
 
 
+def licenses_brute(files):
+    """Own licence and similarity of each (path, text), without the sieve and with every term counted."""
+    find = lambda t: licenses._WORD.findall((t or "").lower())
+    sets = [set(licenses.terms(t or "")) for _, t in files]
+    n, df = sum(bool(find(t)) for _, t in files), Counter(x for s in sets for x in s)
+    idf = lambda t: np.log((1 + n) / (1 + df[t])) + 1
+
+    def unit(counts):
+        v = {t: c * idf(t) for t, c in counts.items()}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / norm for t, x in v.items()}
+
+    cos = lambda a, b: sum(x * b.get(t, 0.0) for t, x in a.items())
+    templates = [(name, unit(licenses.terms(s)), k) for k, (name, s) in enumerate(licenses.TEMPLATES)]
+    out = []
+    for path, text in files:
+        low, w = (text or "").lower(), find(text)
+        parts = [p for x in low.split("\n") for p in (x, *licenses._SENTENCE.split(x))]
+        if re.match(licenses.LICENSE_FILE, path.rsplit("/", 1)[-1]):
+            parts.append(low)
+        found = [(cos(unit(licenses.terms(p)), u), name, k) for p in parts for name, u, k in templates]
+        found += [(cos(unit(licenses._terms(w[i : i + licenses.LENGTHS[k]])), u), name, k) for name, u, k in templates for i in range(max(0, len(w) - licenses.LENGTHS[k]) + 1)]
+        _, c, name = max([(round(min(1.0, c), 9) * licenses.LENGTHS[k] ** 0.5, c, name) for c, name, k in found if c >= licenses.THRESHOLD], default=(0, 0.0, None))
+        out.append((name, min(1.0, c)))
+    return out
+
+
+BSD_HEADER = """Copyright (c) 2011, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+BSD_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
+def test_licenses_equal_unsieved_scan(spark):
+    rng = random.Random(6)
+    words = [w for w in licenses.VOCABULARY if isinstance(w, str)] + [f"w{i}" for i in range(60)]
+    files = [(f"d/{i}.c", "\n".join(" ".join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    for i, (_, statement) in enumerate(licenses.TEMPLATES):
+        w = statement.split()
+        w.insert(len(w) // 2, "\n * ")
+        files += [(f"t/{i}.c", f"some code {statement} and more"), (f"t/{i}.h", "/* " + " ".join(w) + " */"), (f"t/{i}/LICENSE", statement)]
+    files += [("b/LICENSE", BSD_HEADER + "\n" + BSD_CLAUSE), ("b2/LICENSE", BSD_HEADER), ("e", None)]
+    df = docs(spark, files, "path string, text string")
+    scanner = licenses.fit(df, width=1 << 22)  # wide enough that no two terms share a count
+    got = {r.path: (r.own_license, r.similarity) for r in licenses.scan(df, scanner).collect()}
+    for (path, _), (name, cos) in zip(files, licenses_brute(files), strict=True):
+        assert got[path][0] == name and abs(got[path][1] - cos) < 1e-9, path
+    assert got["b/LICENSE"][0] == "BSD-3-Clause" and got["b2/LICENSE"][0] == "BSD-2-Clause"
+    assert [(i, x, name, got[f"t/{i}{x}"]) for i, (name, _) in enumerate(licenses.TEMPLATES) for x in (".c", ".h", "/LICENSE") if got[f"t/{i}{x}"][0] != name] == []
+
+
+def test_sketch_counts_no_term_too_low(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(30)) for _ in range(200)] + ["license", None, ""]
+    scanner = licenses.fit(docs(spark, list(enumerate(texts))), width=1 << 14)
+    df = Counter(t for x in texts for t in set(licenses.terms(x or "")))
+    assert scanner.files == 201 and scanner.frequency["license"] == 1
+    exact = {t: np.log(202 / (1 + n)) + 1 for t, n in df.items()}
+    assert all(scanner.idf(t) <= x + 1e-9 for t, x in exact.items())
+    assert np.mean([abs(scanner.idf(t) - x) < 1e-9 for t, x in exact.items()]) > 0.9
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0"])
+def test_real_license_files(spark, name):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence files here")
+    text = path.read_text()
+    files = [("p/LICENSE", text), ("q/LICENSE", text[:1500]), *((f"d/{i}", "plain words about other things " + str(i)) for i in range(40))]
+    got = {r.path: r.own_license for r in licenses.scan_tree(docs(spark, files, "path string, text string")).collect()}
+    assert got["p/LICENSE"].startswith(name) and got["q/LICENSE"].startswith(name) and sum(v is not None for v in got.values()) == 2
+
+
 def test_license_sieve_loses_nothing():
     rng = random.Random(8)
     words = [w for w in licenses.VOCABULARY if isinstance(w, str)]
-    s = licenses.Scanner(1000, {w: rng.randint(0, 900) for w in licenses.VOCABULARY})
+    s = licenses.Scanner(1000, {w: rng.randint(0, 900) for w in licenses.VOCABULARY}, np.zeros((2, 8), np.int64))
     vectors, wanted = s.prepared()
     for _ in range(3000):
         line = " ".join(rng.choices(words, k=rng.randint(1, 12)))
-        if s.best(line, vectors)[0]:
+        if any(licenses._cosine(s.vector(line), u) >= licenses.THRESHOLD for _, u in vectors):
             assert not wanted.isdisjoint(licenses._WORD.findall(line.lower()))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -89,4 +90,4 @@ def test_statements_within_longer_lines(spark):
     assert [got[f"a/{i}"] for i in range(1, 7)] == ["MIT", "All-Rights-Reserved", "MIT", "Apache-2.0", "Apache-2.0", None]
     assert not any(got[f"d/{i}.txt"] for i in range(300))
     scanner = licenses.fit(df)
-    assert scanner.frequency["was"] == 302 and scanner.frequency["copyright"] == 2
+    assert scanner.frequency["copyright"] == 2 and abs(scanner.idf("was") - (np.log(307 / 303) + 1)) < 1e-9

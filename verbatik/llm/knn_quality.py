@@ -88,6 +88,11 @@ class Model:
     labels: np.ndarray
     prior: float
 
+    @property
+    def usable(self) -> bool:
+        """Whether it has learned from rows of both labels."""
+        return len(set(self.labels.tolist())) > 1
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         if not len(self.labels):
@@ -104,7 +109,7 @@ class Model:
 
 
 def train(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Model of labelled term counts, one row each; without rows every score is 0.5."""
+    """Model of labelled term counts, one row each; without rows every score is 0.5, and usable is false."""
     if not len(labels):
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     idf = np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1

@@ -33,41 +33,44 @@ GRAM = 64
 SLICE = 1 << 19
 #: Suffixes that are sorted together; a group of equal keys stays whole.
 SORT_ROWS = 4_000
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 _POS_BITS = np.uint64(20)
 _POS_MASK = np.uint64((1 << 20) - 1)
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown as needed."""
+    """Powers of a base and of its inverse modulo 2^64, grown as needed."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 a = np.full(size, b, np.uint64)
                 a[0] = 1
                 setattr(self, name, np.multiply.accumulate(a))
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS = Powers(_BASE)
+#: For the hash of whole segments, with values of bytes of its own.
+OTHER = Powers(0xC2B2AE3D27D4EB4F)
+_OTHER_BYTES = np.random.Generator(np.random.Philox(key=3)).integers(1 << 63, size=256, dtype=np.uint64)
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Polynomial hashes of all prefixes: entry i covers data[:i]."""
-    up, _ = POWERS.get(len(data) + 1)
+    up, _ = powers.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1) if powers is POWERS else _OTHER_BYTES[data]) * up[: len(data)], out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, n) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray, n, powers: Powers = POWERS) -> np.ndarray:
     """Hash of n bytes from each start, alike wherever the bytes stand."""
-    return (prefix[start + n] - prefix[start]) * POWERS.get(len(prefix))[1][start]
+    return (prefix[start + n] - prefix[start]) * powers.get(len(prefix))[1][start]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,7 +103,7 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
         last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
         a = anchor[first]
         shape = (a - first).astype(np.uint64) * np.uint64(1 << 32) + (last - first).astype(np.uint64)
-        whole = mixed(range_hash(prefix, first, last - first + length) ^ mixed(shape + np.uint64(1)))
+        whole = mixed(range_hash(prefix_hashes(part, OTHER), first, last - first + length, OTHER) ^ mixed(shape + np.uint64(1)))
         rows.append(np.stack([(first + at).astype(np.uint64), (last + at).astype(np.uint64), (a + at).astype(np.uint64), h[a], whole]))
     return np.concatenate(rows, axis=1) if rows else np.zeros((5, 0), np.uint64)
 
