@@ -38,18 +38,18 @@ VERIFY_COST = 2.0
 BUCKET_ROWS = 4_000
 DIVISIONS = 6
 #: Words of wide fingerprints, and the radius within which every pair of them is a candidate. Pairs of
-#: similarity 0.8 differ in about 310 of the 2048 bits; chances of being a candidate: README.
-WIDE_WORDS = 32
-WIDE_RADIUS = 95
+#: similarity 0.8 differ in about 240 of the 1600 bits; chances of being a candidate: README.
+WIDE_WORDS = 25
+WIDE_RADIUS = 79
 #: Candidates whose first words differ in more bits aren't as similar as 0.8, but for a chance in 10^4.
 WIDE_FIRST_WORD = 21
 #: Buckets of at most so many rows are compared pair by pair at once.
 SMALL = 32
+#: Up to so many ids (eight bytes each) are broadcast to pick out their rows; beyond, texts are dealt by id.
+BROADCAST_IDS = 1_000_000
 #: Ids that occur more than once, up to so many, are kept apart; beyond, all rows are dealt by id.
 REPEATED_IDS = 1_000
 _FACTORS = np.random.Generator(np.random.Philox(key=7)).integers(1 << 62, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: The bits of each byte.
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,9 +58,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the 64-bit hashes have each bit."""
-    at = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)
-    return (np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
+    """How many rows of a matrix of 64-bit hashes have each bit, for each column.
+
+    Counts are kept as planes of bits, so that one operation adds 64 of them; the halves of the
+    rows are added up until one row is left.
+    """
+    planes = [hashes]
+    while len(planes[0]) > 1:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate((p, np.zeros((1, p.shape[1]), np.uint64))) for p in planes]
+        half, carry, out = len(planes[0]) // 2, None, []
+        for p in planes:
+            a, b = p[:half], p[half:]
+            differ = a ^ b
+            out.append(differ if carry is None else differ ^ carry)
+            carry = a & b if carry is None else (a & b) | (differ & carry)
+        planes = [*out, carry]
+    bits = [np.unpackbits(p[0].astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes)]
+    return sum(bits).reshape(-1, BITS)
 
 
 def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 16) -> int:
@@ -73,7 +88,7 @@ def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 16) -> int:
     for at in range(0, total, chunk):
         part = words[at : at + chunk + width - 1]
         grams = zip(*(part[i:] for i in range(width)), strict=False) if len(words) > width else [words]
-        count += bit_counts(np.array([digest(b" ".join(g), 42) for g in grams], np.uint64))
+        count += bit_counts(np.array([[digest(b" ".join(g), 42)] for g in grams], np.uint64))[0]
     return int(np.packbits(2 * count > total, bitorder="little").view("<i8")[0])
 
 
@@ -86,14 +101,15 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams], np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS, chunk: int = 1 << 14) -> np.ndarray:
-    """SimHash of 64-bit hashes in that many words: in each word the hashes are mixed anew."""
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS, chunk: int = 1 << 12) -> np.ndarray:
+    """SimHash of 64-bit hashes in that many words: for each word the hashes are mixed anew."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     count = np.zeros((words, BITS), np.int64)
     for at in range(0, len(hashes), chunk):
         part = hashes[at : at + chunk]
-        for w in range(words):
-            mixed = (part ^ (part >> np.uint64(29))) * _FACTORS[w]
-            count[w] += bit_counts(mixed ^ (mixed >> np.uint64(32)))
+        mixed = (part ^ (part >> np.uint64(29)))[:, None] * _FACTORS[:words]
+        count += bit_counts(mixed ^ (mixed >> np.uint64(32)))
     return np.packbits(2 * count > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
@@ -410,13 +426,38 @@ def _wide_keys(sig: DataFrame, p: Plan) -> DataFrame:
     return sig.select("id", "n", "fp").mapInArrow(run, "key bigint, own boolean, id bigint, n int, word bigint")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _repeated_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys whose key another row has too: one shuffle, of which no group is held."""
+    names = keys.columns
+
+    def run(batches):
+        held, alike = None, False  # the last row so far, and whether the one before it has its key
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b])
+            key = np.array(t.column("key"))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate(([alike], same)) | np.concatenate((same, [False]))
+            yield from t.slice(0, len(key) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held, alike = t.slice(len(key) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+        if held is not None and alike:
+            yield held
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and the hashes of the shingles, of the rows (id, t) whose id is among ids."""
+
     def run(batches):
         for b in batches:
             sets = [_signed(shingles(t, width)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    return docs.mapInArrow(run, "id bigint, s array<bigint>")
+    few = rows_in(ids) <= BROADCAST_IDS
+    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return wanted.mapInArrow(run, "id bigint, s array<bigint>").dropDuplicates(["id"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -451,36 +492,42 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return without(docs, copies, id_col)
     counts = sorted({max(WIDE_WORDS, round((radius + 1) * x)) for x in (1.0, 0.9, 0.8, 0.7)})
     p = plan(_unsigned(some), total, radius, counts)
-    keys = _wide_keys(real, p)
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o").select("key")
-    left = materialize(keys.join(met, "key", "left_semi"), "near-keys")
-    sets = materialize(_sets(rows.join(left.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id"]), "near-sets")
+    left = materialize(_repeated_keys(_wide_keys(real, p)), "near-keys")
     gone, before = copies, None
+    leader = F.struct(F.col("id").alias("_i"), F.col("n").alias("_n"), F.col("word").alias("_w"))
+    # sets whose sizes differ by more can't be as similar
+    near = (F.col("id") != F.col("_i")) & (F.least("n", "_n") + 1e-9 >= similarity * F.greatest("n", "_n")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("_w"))) <= WIDE_FIRST_WORD)
     for turn in itertools.count():
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
-        most, large = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > SMALL, F.col("c"))), F.lit(0))).first()
-        if most is None:
+        sizes = materialize(sizes.select("key", (F.col("c") > SMALL).alias("large"), "c"), "near-sizes")
+        met, large = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("large"), F.col("c"))), F.lit(0))).first()
+        if not met:
             break
-        last = most <= SMALL or (before is not None and large > 0.8 * before)
+        last = not large or (before is not None and large > 0.8 * before)
         before = large
-        leader = F.struct(F.col("id").alias("_i"), F.col("n").alias("_n"), F.col("word").alias("_w"))
-        if last:
-            other = left.where("own").select("key", leader.alias("_l"))
-        else:
-            other = left.where("own").groupBy("key").agg(F.min_by(leader, F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l"))
-        # sets whose sizes differ by more can't be as similar
-        near = (F.col("id") != F.col("_i")) & (F.least("n", "_n") + 1e-9 >= similarity * F.greatest("n", "_n")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("_w"))) <= WIDE_FIRST_WORD)
-        pairs = left.join(other.select("key", "_l.*"), "key").where(near).select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct()
+        rows_ = left.join(sizes.drop("c"), "key")
+        small = rows_ if last else rows_.where("not large")
+        pairs = small.join(small.where("own").select("key", leader.alias("_l")).select("key", "_l.*"), "key").where(near)
+        if not last:
+            first = rows_.where("large and own").groupBy("key").agg(F.min_by(leader, F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l")).select("key", "_l.*")
+            pairs = pairs.unionByName(rows_.where("large").join(first, "key").where(near))
+        pairs = materialize(pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct(), "near-pairs")
+        sets = materialize(_sets(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), width), "near-sets")
         found = materialize(_similar(pairs, sets, similarity), "near-links")
+        discard(sets)
+        out = None
         if found.head(1):
             out = materialize(connected_components(found).where("node != root").select(F.col("node").alias("id")), "near-gone")
             gone = gone.union(out)
-            fewer = materialize(left.join(out, "id", "left_anti"), "near-keys")
+        if not last:  # small buckets are done with
+            rest = rows_.where("large").drop("large")
+            fewer = materialize(rest.join(out, "id", "left_anti").select(*left.columns) if out is not None else rest.select(*left.columns), "near-keys")
             discard(left)
             left = fewer
+        discard(sizes)
         if last:
             break
     out = materialize(gone.distinct(), "near-gone")
-    for x in (sig, heads, left, sets):
+    for x in (sig, heads, left):
         discard(x)
     return without(docs, out, id_col)
