@@ -60,16 +60,13 @@ def test_classifier_learns_from_what_the_rules_rejected(spark, tmp_path):
     assert not any(i >= 260 for i in kept) and len(kept) >= 190
 
 
-@pytest.mark.parametrize("threshold", ["-1", "10MB"])
-def test_target_covers_every_trusted_document(spark, threshold):
+@pytest.mark.parametrize("most", [100, 1_000_000])
+def test_target_covers_every_trusted_document(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", most)
     n = 60_000
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     texts = spark.range(n + 1000).select(F.col("id").alias("doc_id"), F.lit("aaa bbb").alias("text"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        counts = quality_rules.bucket_counts(texts, quality_rules.trusted_ids(labels)).collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts = quality_rules.bucket_counts(texts, quality_rules.trusted_ids(labels)).collect()
     assert sum(r.target for r in counts) == 3 * n and sum(r.corpus for r in counts) == 3 * (n + 1000)
 
 

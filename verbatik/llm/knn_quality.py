@@ -24,7 +24,7 @@ NEIGHBOURS = 15
 #: Similarities are raised to this power as weights.
 SHARPNESS = 8
 #: Rows a matrix product takes at once.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 THRESHOLD = 0.7
 
 _CLASSES = 8
@@ -161,7 +161,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(shared.value.score(b.column("_t").to_pylist()), pa.float64())], [*names, "score"])
+            # block by block, so that only a block's texts are held as Python strings
+            scores = [shared.value.score(b.column("_t").slice(at, BLOCK_ROWS).to_pylist()) for at in range(0, b.num_rows, BLOCK_ROWS)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], [*names, "score"])
 
     schema = T.StructType([rows.schema[c] for c in names]).add("score", T.DoubleType())
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import SPACE
+from verbatik.llm.common import SPACE, rows_in
 
 #: Size of the multinomials: all that the driver and the tasks hold of the corpus.
 BUCKETS = 1 << 15
@@ -22,6 +22,8 @@ BUCKETS = 1 << 15
 THRESHOLD = -0.12
 #: N-grams a bucket that the target is given of the corpus's distribution; the corpus itself has 1 added to each bucket.
 PRIOR = 4.0
+#: Trusted ids (eight bytes each) that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -54,10 +56,12 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns bucket, corpus, target: n-grams over all rows and over those of trusted ids.
 
-    One scan; counts are combined before the shuffle. Few trusted ids are broadcast; when there are too
-    many, the join shuffles ids and buckets (two bytes an n-gram), not texts.
+    One scan; counts are combined before the shuffle. Up to BROADCAST_IDS trusted ids are broadcast; when
+    there are more, the join shuffles ids and buckets (two bytes an n-gram), not texts.
     """
     flags = trusted.select(F.col("id").alias("_id"), F.lit(1).alias("_good")).distinct()
+    if rows_in(flags) <= BROADCAST_IDS:
+        flags = F.broadcast(flags)
     hashed = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).withColumn("_h", _hashed("_w"))
     marked = hashed.select("_id", F.transform(_grams(), _bucket).cast("array<smallint>").alias("_b")).join(flags, "_id", "left")
     grams = marked.select("_good", F.explode_outer("_b").alias("bucket"))
