@@ -38,8 +38,8 @@ VERIFY_COST = 2.0
 BUCKET_ROWS = 4_000
 DIVISIONS = 6
 #: Words of wide fingerprints, and the radius within which every pair of them is a candidate. Pairs of
-#: similarity 0.8 differ in about 240 of the 1600 bits; chances of being a candidate: README.
-WIDE_WORDS = 25
+#: similarity 0.8 differ in about 270 of the 1792 bits; chances of being a candidate: README.
+WIDE_WORDS = 28
 WIDE_RADIUS = 79
 #: Candidates whose first words differ in more bits aren't as similar as 0.8, but for a chance in 10^4.
 WIDE_FIRST_WORD = 21

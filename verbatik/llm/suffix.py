@@ -191,7 +191,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 _SEGMENTS = pa.schema([("kid", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("m", pa.int32())])
 #: Rows gathered before repeats within the task are combined.
-_COMBINE_ROWS = 2_000_000
+_COMBINE_ROWS = 500_000
 
 
 def _find_segments(length: int, gram: int):
