@@ -41,6 +41,8 @@ DIVISIONS = 6
 #: similarity 0.8 differ in about 270 of the 1792 bits; chances of being a candidate: README.
 WIDE_WORDS = 28
 WIDE_RADIUS = 79
+#: Bits that a partition of wide fingerprints has beyond the logarithm of their number.
+SPARE_BITS = 4
 #: Candidates whose first words differ in more bits aren't as similar as 0.8, but for a chance in 10^4.
 WIDE_FIRST_WORD = 21
 #: Buckets of at most so many rows are compared pair by pair at once.
@@ -490,8 +492,9 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = [r.fp for r in real.select("fp").orderBy(F.xxhash64("fp")).limit(WIDE_PLAN_SAMPLE).collect()]
     if total < 2:
         return without(docs, copies, id_col)
-    counts = sorted({max(WIDE_WORDS, round((radius + 1) * x)) for x in (1.0, 0.9, 0.8, 0.7)})
-    p = plan(_unsigned(some), total, radius, counts)
+    # partitions wide enough that unlike fingerprints seldom meet, at any number of them
+    width = math.ceil(math.log2(total)) + SPARE_BITS
+    p = plan(_unsigned(some), total, radius, [min(WIDE_WORDS * BITS, max(WIDE_WORDS, WIDE_WORDS * BITS // width))])
     left = materialize(_repeated_keys(_wide_keys(real, p)), "near-keys")
     gone, before = copies, None
     leader = F.struct(F.col("id").alias("_i"), F.col("n").alias("_n"), F.col("word").alias("_w"))
@@ -499,18 +502,16 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = (F.col("id") != F.col("_i")) & (F.least("n", "_n") + 1e-9 >= similarity * F.greatest("n", "_n")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("_w"))) <= WIDE_FIRST_WORD)
     for turn in itertools.count():
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
-        sizes = materialize(sizes.select("key", (F.col("c") > SMALL).alias("large"), "c"), "near-sizes")
-        met, large = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("large"), F.col("c"))), F.lit(0))).first()
-        if not met:
+        sizes = materialize(sizes.select("key", "c"), "near-sizes")
+        most, more = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > 2, F.col("c"))), F.lit(0))).first()
+        if most is None:
             break
-        last = not large or (before is not None and large > 0.8 * before)
-        before = large
-        rows_ = left.join(sizes.drop("c"), "key")
-        small = rows_ if last else rows_.where("not large")
-        pairs = small.join(small.where("own").select("key", leader.alias("_l")).select("key", "_l.*"), "key").where(near)
+        last = most <= SMALL or (before is not None and more > 0.8 * before)
+        before = more
+        own = left.where("own").select("key", leader.alias("_l"), "id")
         if not last:
-            first = rows_.where("large and own").groupBy("key").agg(F.min_by(leader, F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l")).select("key", "_l.*")
-            pairs = pairs.unionByName(rows_.where("large").join(first, "key").where(near))
+            own = own.groupBy("key").agg(F.min_by("_l", F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l"))
+        pairs = left.join(own.select("key", "_l.*"), "key").where(near)
         pairs = materialize(pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct(), "near-pairs")
         sets = materialize(_sets(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), width), "near-sets")
         found = materialize(_similar(pairs, sets, similarity), "near-links")
@@ -519,9 +520,9 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if found.head(1):
             out = materialize(connected_components(found).where("node != root").select(F.col("node").alias("id")), "near-gone")
             gone = gone.union(out)
-        if not last:  # small buckets are done with
-            rest = rows_.where("large").drop("large")
-            fewer = materialize(rest.join(out, "id", "left_anti").select(*left.columns) if out is not None else rest.select(*left.columns), "near-keys")
+        if not last:  # buckets of two are done with
+            rest = left.join(sizes.where("c > 2").select("key"), "key", "left_semi")
+            fewer = materialize((rest if out is None else rest.join(out, "id", "left_anti")).select(*left.columns), "near-keys")
             discard(left)
             left = fewer
         discard(sizes)
