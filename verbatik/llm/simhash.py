@@ -493,8 +493,8 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if total < 2:
         return without(docs, copies, id_col)
     # partitions wide enough that unlike fingerprints seldom meet, at any number of them
-    width = math.ceil(math.log2(total)) + SPARE_BITS
-    p = plan(_unsigned(some), total, radius, [min(WIDE_WORDS * BITS, max(WIDE_WORDS, WIDE_WORDS * BITS // width))])
+    wide = math.ceil(math.log2(total)) + SPARE_BITS
+    p = plan(_unsigned(some), total, radius, [min(WIDE_WORDS * BITS, max(WIDE_WORDS, WIDE_WORDS * BITS // wide))])
     left = materialize(_repeated_keys(_wide_keys(real, p)), "near-keys")
     gone, before = copies, None
     leader = F.struct(F.col("id").alias("_i"), F.col("n").alias("_n"), F.col("word").alias("_w"))
