@@ -34,6 +34,10 @@ PLAN_SAMPLE = 20_000
 WIDE_PLAN_SAMPLE = 4_000
 #: Cost of verifying a candidate, in probe keys.
 VERIFY_COST = 2.0
+#: Candidates of a fingerprint that cost more: beyond these they are links of one group, found with few comparisons.
+MOST_CANDIDATES = 2.0
+#: Partitions by which groups of near copies are found first; only what stays is put down under the others.
+FIRST_PARTS = 12
 #: A bucket of more fingerprints is divided by further keys, over tasks, for at most so many rounds.
 BUCKET_ROWS = 4_000
 DIVISIONS = 6
@@ -201,7 +205,7 @@ def plan(sample: np.ndarray, total: int, radius: int, counts: list[int] | None =
         for p in parts:
             row, keys = [0.0], _project(bits, p)
             for t in range(min(radius, limit, len(p)) + 1):
-                row.append(total * (1 + sum(math.comb(len(p), d) for d in range(1, t + 1)) + VERIFY_COST * total * _share(keys, len(p), t)))
+                row.append(total * (1 + sum(math.comb(len(p), d) for d in range(1, t + 1)) + VERIFY_COST * min(total * _share(keys, len(p), t), MOST_CANDIDATES)))
             cost.append(row)
         table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for row in cost:
@@ -480,7 +484,8 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     In a large bucket all are compared with one leader, round by round, and what is linked to a smaller
     id leaves; when buckets are small, or leaders find little more, all pairs of a bucket are compared.
-    No bucket is cut or capped.
+    No bucket is cut or capped. Large groups are found by the first partitions, so that few of their
+    members are put down under the many others.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     sig = materialize(_signatures(rows, width), "near-signatures")
@@ -495,40 +500,46 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # partitions wide enough that unlike fingerprints seldom meet, at any number of them
     wide = math.ceil(math.log2(total)) + SPARE_BITS
     p = plan(_unsigned(some), total, radius, [min(WIDE_WORDS * BITS, max(WIDE_WORDS, WIDE_WORDS * BITS // wide))])
-    left = materialize(_repeated_keys(_wide_keys(real, p)), "near-keys")
-    gone, before = copies, None
+    used = [(part, t) for part, t in zip(p.parts, p.thresholds, strict=True) if t >= 0]
+    gone = copies
     leader = F.struct(F.col("id").alias("_i"), F.col("n").alias("_n"), F.col("word").alias("_w"))
     # sets whose sizes differ by more can't be as similar
     near = (F.col("id") != F.col("_i")) & (F.least("n", "_n") + 1e-9 >= similarity * F.greatest("n", "_n")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("_w"))) <= WIDE_FIRST_WORD)
-    for turn in itertools.count():
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
-        sizes = materialize(sizes.select("key", "c"), "near-sizes")
-        most, more = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > 2, F.col("c"))), F.lit(0))).first()
-        if most is None:
-            break
-        last = most <= SMALL or (before is not None and more > 0.8 * before)
-        before = more
-        own = left.where("own").select("key", leader.alias("_l"), "id")
-        if not last:
-            own = own.groupBy("key").agg(F.min_by("_l", F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l"))
-        pairs = left.join(own.select("key", "_l.*"), "key").where(near)
-        pairs = materialize(pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct(), "near-pairs")
-        sets = materialize(_sets(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), width), "near-sets")
-        found = materialize(_similar(pairs, sets, similarity), "near-links")
-        discard(sets)
-        out = None
-        if found.head(1):
-            out = materialize(connected_components(found).where("node != root").select(F.col("node").alias("id")), "near-gone")
-            gone = gone.union(out)
-        if not last:  # buckets of two are done with
-            rest = left.join(sizes.where("c > 2").select("key"), "key", "left_semi")
-            fewer = materialize((rest if out is None else rest.join(out, "id", "left_anti")).select(*left.columns), "near-keys")
-            discard(left)
-            left = fewer
-        discard(sizes)
-        if last:
+    for some_parts in (used[:FIRST_PARTS], used[FIRST_PARTS:]):
+        if not some_parts:
             break
+        keys = _wide_keys(real.join(gone, "id", "left_anti"), Plan(*map(tuple, zip(*some_parts, strict=True))))
+        left, before = materialize(_repeated_keys(keys), "near-keys"), None
+        for turn in itertools.count():
+            sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
+            sizes = materialize(sizes.select("key", "c"), "near-sizes")
+            most, more = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > 2, F.col("c"))), F.lit(0))).first()
+            if most is None:
+                break
+            last = most <= SMALL or (before is not None and more > 0.8 * before)
+            before = more
+            own = left.where("own").select("key", leader.alias("_l"), "id")
+            if not last:
+                own = own.groupBy("key").agg(F.min_by("_l", F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l"))
+            pairs = left.join(own.select("key", "_l.*"), "key").where(near)
+            pairs = materialize(pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct(), "near-pairs")
+            sets = materialize(_sets(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), width), "near-sets")
+            found = materialize(_similar(pairs, sets, similarity), "near-links")
+            discard(sets)
+            out = None
+            if found.head(1):
+                out = materialize(connected_components(found).where("node != root").select(F.col("node").alias("id")), "near-gone")
+                gone = gone.union(out)
+            if not last:  # buckets of two are done with
+                rest = left.join(sizes.where("c > 2").select("key"), "key", "left_semi")
+                fewer = materialize((rest if out is None else rest.join(out, "id", "left_anti")).select(*left.columns), "near-keys")
+                discard(left)
+                left = fewer
+            discard(sizes)
+            if last:
+                break
+        discard(left)
     out = materialize(gone.distinct(), "near-gone")
-    for x in (sig, heads, left):
+    for x in (sig, heads):
         discard(x)
     return without(docs, out, id_col)
