@@ -8,7 +8,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import licenses, quality_rules, queries, simhash  # noqa: E402
+from verbatik.llm import knn_quality, licenses, quality_rules, queries, simhash  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -88,3 +88,14 @@ def test_statements_within_longer_lines(spark):
     assert not any(got[f"d/{i}.txt"] for i in range(300))
     scanner = licenses.fit(df)
     assert scanner.frequency["copyright"] == 2 and abs(scanner.idf("was") - (np.log(307 / 303) + 1)) < 1e-9
+
+
+def test_classifier_collects_a_row_for_each_id(spark, monkeypatch):
+    rows = [(i, f"text {'word' if i else '## $$'} number {i}") for i in range(4)]
+    labels = spark.createDataFrame([(i, int(i > 0)) for i in range(4)], "doc_id bigint, quality int")
+    once = knn_quality.fit(table(spark, rows), labels, F.lit(True))
+    seen, collect = [], type(labels).collect
+    monkeypatch.setattr(type(labels), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    again = knn_quality.fit(table(spark, rows * 500).repartition(8), labels, F.lit(True))
+    assert max(map(len, seen)) == 4
+    assert np.array_equal(once.vectors, again.vectors) and np.array_equal(once.labels, again.labels)

@@ -130,23 +130,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows: int = SAMP
     """Learn from labelled documents where train_rows (over labels) holds.
 
     The sample is at most `rows` ids, the first by hash of the id; their counts are made on the
-    executors. An id with different labels isn't learned from, nor are null ids, labels or texts.
+    executors, and those that aren't zero go to the driver. An id with different labels isn't learned
+    from, nor are null ids, labels or texts; of an id that is repeated the greatest text counts, once.
     """
     kind = labels.schema[id_col].dataType.simpleString()
     known = labels.where(train_rows & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("i", "y")
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(rows)
     sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
+    sample = sample.groupBy("i", "y").agg(F.max("t").alias("t"))
 
     def run(batches):
         for b in batches:
-            found = [term_counts(t).astype("<f4").tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("y").cast(pa.int32()), pa.array(found, pa.binary())], ["i", "y", "c"])
-
-    rows_ = sorted({(r.i, r.y, bytes(r.c)) for r in sample.mapInArrow(run, f"i {kind}, y int, c binary").collect()})
-    rows_ = list({r[0]: r for r in rows_}.values())
-    counts = np.array([np.frombuffer(r[2], "<f4") for r in rows_], np.float32).reshape(-1, TERMS)
-    return train(counts, np.array([r[1] for r in rows_]))
+            counts = [term_counts(t) for t in b.column("t").to_pylist()]
+            used = [np.flatnonzero(c) for c in counts]
+            found = [pa.array([x.astype("<u2").tobytes() for x in used], pa.binary()), pa.array([c[x].astype("<f4").tobytes() for c, x in zip(counts, used, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("y").cast(pa.int32()), *found], ["i", "y", "at", "c"])
+
+    rows_ = sorted(sample.mapInArrow(run, f"i {kind}, y int, at binary, c binary").collect(), key=lambda r: r.i)
+    counts = np.zeros((len(rows_), TERMS), np.float32)
+    for row, r in zip(counts, rows_, strict=True):
+        row[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.c, "<f4")
+    return train(counts, np.array([r.y for r in rows_]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
