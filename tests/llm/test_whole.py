@@ -8,7 +8,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import knn_quality, licenses, quality_rules, queries, simhash  # noqa: E402
+from verbatik.llm import knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -99,3 +99,19 @@ def test_classifier_collects_a_row_for_each_id(spark, monkeypatch):
     again = knn_quality.fit(table(spark, rows * 500).repartition(8), labels, F.lit(True))
     assert max(map(len, seen)) == 4
     assert np.array_equal(once.vectors, again.vectors) and np.array_equal(once.labels, again.labels)
+
+
+def test_units_built_together_are_those_built_alone():
+    one = sampling.Sampler(queries.tokenizer_path(queries.SAMPLING_MODEL))
+    rng = random.Random(8)
+    units = ["▁the", "x", "日本語", "🙂🙂b", "▁", "\x00\x01", "é" * 60, *("".join(rng.choices("abceinorst▁Z7🙂", k=n)) for n in (1, 3, 9, 30, 200))]
+    last = {u: one.unit(u) for u in dict.fromkeys(units)}
+    one.settle()
+    lat = one.lattices
+    for u, node in last.items():
+        begin = node + 1 - len(u)
+        for at, (starts, pieces, p) in enumerate(one.edges(u)):
+            e = np.arange(lat.count.data[begin + at]) + lat.first.data[begin + at]
+            assert [int(x) + 1 - begin if x >= 0 else 0 for x in lat.to.data[e]] == starts
+            assert np.allclose(lat.log_p.data[e], np.log(p), rtol=0, atol=1e-9)
+            assert [tuple(lat.ids.data[a : a + n].tolist()) for a, n in zip(lat.ids_at.data[e], lat.ids_n.data[e], strict=True)] == [tuple(x) for x in pieces]

@@ -55,8 +55,7 @@ class Lattices:
     A node's edges are the pieces that end there: consecutive places from first[node], count[node]
     of them. Of an edge: to, the node it begins at (-1: the unit's start); log_p, its log
     probability among the node's edges; others, that of all the others together; keep and alias,
-    by which one uniform variate draws an edge; ids_at and ids_n, its ids in ids. New entries wait
-    in lists until settle().
+    by which one uniform variate draws an edge; ids_at and ids_n, its ids in ids.
     """
 
     KINDS = {"first": np.int64, "count": np.int64, "to": np.int32, "alias": np.int32, "ids_at": np.int32, "ids_n": np.int32, "log_p": np.float64, "others": np.float64, "keep": np.float64, "ids": np.int32}
@@ -64,29 +63,10 @@ class Lattices:
     def __init__(self):
         for name, kind in self.KINDS.items():
             setattr(self, name, Table(kind))
-        self.new: dict[str, list] = {name: [] for name in ("count", "to", "p", "ids_n", "ids")}
-        self.nodes = 0
-
-    def add_unit(self, unit: list[tuple[list[int], list[tuple[int, ...]], list[float]]]) -> int:
-        """Add a unit's nodes, each the starts, ids and probabilities of its edges; returns the last."""
-        new, base = self.new, self.nodes - 1
-        for starts, pieces, p in unit:
-            new["count"].append(len(p))
-            new["to"] += [base + s if s else -1 for s in starts]
-            new["p"] += p
-            for ids in pieces:
-                new["ids_n"].append(len(ids))
-                new["ids"] += ids
-        self.nodes += len(unit)
-        return self.nodes - 1
+        self.nodes = 0  # given out, of which the tables may not have the last yet
 
-    def settle(self) -> None:
-        """Move the new units into the tables."""
-        if not self.new["count"]:
-            return
-        count, to, p, ids_n, ids = (np.array(x) for x in self.new.values())
-        for x in self.new.values():
-            x.clear()
+    def add(self, count, to, p, ids_n, ids) -> None:
+        """Add nodes by their numbers of edges, and the edges in order: to, probability, number of ids, ids."""
         wide = np.zeros((len(count), count.max()))
         used = np.arange(wide.shape[1]) < count[:, None]
         wide[used] = p
@@ -128,6 +108,43 @@ def _alias(p: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keep, alias
 
 
+class Trie:
+    """The prefixes of pieces, by number; the empty one is 0."""
+
+    def __init__(self, pieces: list[str]):
+        number = {"": 0}
+        for p in pieces:
+            for i in range(1, len(p) + 1):
+                number.setdefault(p[:i], len(number))
+        step = sorted((number[x[:-1]] << 21 | ord(x[-1]), n) for x, n in number.items() if x)
+        self.keys, self.next = np.array([k for k, _ in step], np.int64), np.array([n for _, n in step], np.int64)
+        self.first = np.full(0x110000, -1, np.int32)
+        self.first[[ord(x) for x in number if len(x) == 1]] = [n for x, n in number.items() if len(x) == 1]
+        #: Place among the pieces, or -1.
+        self.piece = np.full(len(number), -1, np.int64)
+        self.piece[[number[p] for p in pieces]] = np.arange(len(pieces))
+
+    def found(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where a piece begins and ends (its last character), and the piece; none goes on to stop (for each place)."""
+        start = np.arange(len(codes))
+        at, state, out = start, self.first[codes].astype(np.int64), []
+        while True:
+            on = state >= 0
+            start, at, state = start[on], at[on], state[on]
+            if not len(start):
+                break
+            piece = self.piece[state]
+            hit = piece >= 0
+            out.append((start[hit], at[hit], piece[hit]))
+            at = at + 1
+            on = at < stop[start]
+            start, at = start[on], at[on]
+            want = state[on] << 21 | codes[at]
+            place = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            state = np.where(self.keys[place] == want, self.next[place], -1)
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+
+
 def _cut_off(g: float, phi, rng) -> np.ndarray:
     """Gumbel variates of the log masses phi, cut off at g; -inf where there is no mass."""
     return -np.logaddexp(-g, -(phi + rng.gumbel(size=np.shape(phi))))
@@ -155,13 +172,19 @@ class Sampler:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.rare = math.exp(alpha * (min(weight.values()) - total))
         self.longest = max(map(len, self.pieces))
+        self.trie = Trie(list(self.pieces))
+        #: Weights and ids of the pieces, and after them of the characters without one.
+        self.weights, self.entries, self.odd = [w for _, w in self.pieces.values()], [i for i, _ in self.pieces.values()], {}
+        self.piece_ids = np.array([i for (i,) in self.entries])
+        #: Units of more bytes may have masses too small for a number.
+        self.most_bytes = int(600 / max(1e-9, -math.log(self.rare))) // (1 if self.bytes else 2)
         self.cut = not any(_GAP in p.lstrip(_GAP) for p in self.pieces)
         #: Neighbouring characters inside a piece.
         self.joints = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.forget()
 
     def forget(self) -> None:
-        self.lattices, self.units, self.words = Lattices(), {}, {}
+        self.lattices, self.units, self.words, self.new = Lattices(), {}, {}, []
 
     def _fallback(self, ch: str) -> tuple[tuple[int, ...], float]:
         data = ch.encode("utf-8", "replace")
@@ -201,12 +224,64 @@ class Sampler:
         return out
 
     def unit(self, text: str) -> int:
-        """The last node of a unit's lattice."""
+        """The last node of a unit's lattice; a new one is built by settle()."""
         last = self.units.get(text)
         if last is None:
-            self.units[text] = last = self.lattices.add_unit(self.edges(text))
+            self.new.append(text)
+            self.lattices.nodes += len(text)
+            self.units[text] = last = self.lattices.nodes - 1
         return last
 
+    def settle(self) -> None:
+        """Build the lattices of the new units, in order."""
+        for short, texts in itertools.groupby(self.new, key=lambda t: len(t.encode("utf-8", "replace")) <= self.most_bytes):
+            if short:
+                self._build(list(texts))
+            else:
+                for text in texts:
+                    nodes, base = self.edges(text), self.lattices.count.n - 1
+                    to = [base + s if s else -1 for starts, _, _ in nodes for s in starts]
+                    ids = [i for _, pieces, _ in nodes for i in pieces]
+                    self.lattices.add(np.array([len(p) for _, _, p in nodes]), np.array(to), np.array([x for _, _, p in nodes for x in p]), np.array(list(map(len, ids))), np.array([i for x in ids for i in x]))
+        self.new = []
+
+    def _build(self, texts: list[str]) -> None:
+        """Add the lattices of short units, as edges() has them, all at once."""
+        size = np.array(list(map(len, texts)))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.repeat(np.cumsum(size) - size, size)  # of each character's unit
+        start, end, entry = self.trie.found(codes, begin + np.repeat(size, size))
+        alone = np.ones(len(codes), bool)
+        alone[start[start == end]] = False
+        odd = np.flatnonzero(alone)
+        for c in np.unique(codes[odd]).tolist():
+            if c not in self.odd:
+                ids, w = self._fallback(chr(c))
+                self.odd[c] = len(self.entries)
+                self.entries.append(ids)
+                self.weights.append(w)
+        start, end = np.concatenate((start, odd)), np.concatenate((end, odd))
+        entry = np.concatenate((entry, np.array([self.odd[c] for c in codes[odd].tolist()], np.int64)))
+        order = np.argsort(end * (self.longest + 1) + self.longest - (end - start))  # by node, then by start
+        start, end, entry = start[order], end[order], entry[order]
+        weight, mass, p = np.array(self.weights)[entry], np.ones(len(codes)), np.empty(len(entry))
+        within = (end - begin[end]).astype(np.int16)
+        turns = np.split(np.argsort(within, kind="stable"), np.cumsum(np.bincount(within))[:-1])
+        inner = start > begin[start]
+        for e in turns:
+            x = np.where(inner[e], mass[start[e] - 1], 1.0) * weight[e]
+            node = np.cumsum(np.concatenate(([0], end[e][1:] != end[e][:-1])))
+            total = np.bincount(node, x)
+            p[e] = x / total[node]
+            mass[end[e]] = total[node]
+        count = np.bincount(end, minlength=len(codes))
+        to = np.where(inner, self.lattices.count.n + start - 1, -1)
+        if len(odd):
+            ids = [self.entries[i] for i in entry.tolist()]
+            self.lattices.add(count, to, p, np.array(list(map(len, ids))), np.array([i for x in ids for i in x]))
+        else:
+            self.lattices.add(count, to, p, np.ones(len(entry), np.int64), self.piece_ids[entry])
+
     def word(self, text: str) -> list[int]:
         """The last nodes of the units of a word: it is cut wherever no piece goes across."""
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joints), len(text)]
@@ -264,7 +339,7 @@ class Sampler:
         if self.lattices.to.n > CACHE_EDGES:
             self.forget()
         nodes = [self.nodes(t) for t in texts]
-        self.lattices.settle()
+        self.settle()
         return [self._search(n, k, key) for n, key in zip(nodes, keys, strict=True)]
 
     def _search(self, nodes: np.ndarray, k: int, key: bytes) -> list[tuple[np.ndarray, float, float]]:
