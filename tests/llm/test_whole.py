@@ -1,6 +1,7 @@
 """Operators on cases that a part of the job would miss."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
+from verbatik.llm import components, knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -115,3 +116,44 @@ def test_units_built_together_are_those_built_alone():
             assert [int(x) + 1 - begin if x >= 0 else 0 for x in lat.to.data[e]] == starts
             assert np.allclose(lat.log_p.data[e], np.log(p), rtol=0, atol=1e-9)
             assert [tuple(lat.ids.data[a : a + n].tolist()) for a, n in zip(lat.ids_at.data[e], lat.ids_n.data[e], strict=True)] == [tuple(x) for x in pieces]
+
+
+def test_near_dedup_writes_few_files_of_small_tables(spark, monkeypatch):
+    rng, written = random.Random(6), []
+    base = [prose(rng, 120) for _ in range(20)]
+    rows = [(i, " ".join([*base[i % 20], f"end{i}"])) for i in range(120)]
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    put = simhash.materialize
+
+    def seen(df, name):
+        out = put(df, name)
+        written.append((name, len(list(Path(out._verbatik_path.removeprefix("file:")).glob("part-*")))))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    monkeypatch.setattr(components, "materialize", seen)
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        kept = {r.doc_id for r in simhash.keep_similar(table(spark, rows)).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert kept == set(range(20))
+    assert len(written) > 5 and all(n <= 2 for name, n in written if name != "near-signatures")
+
+
+@pytest.mark.parametrize("at_once", [0, 900, 10_000])
+def test_components_settled_on_the_driver(spark, at_once):
+    rng = random.Random(9)
+    edges = [(rng.randrange(700), rng.randrange(700)) for _ in range(400)] + [(i + 1, i) for i in range(1000, 1500)] + [(3, 3), (None, 4)]
+    root = {}
+    for u, v in edges:
+        if u is not None and u != v:
+            a, b = root.setdefault(u, u), root.setdefault(v, v)
+            root.update({x: min(a, b) for x, r in list(root.items()) if r in (a, b)})
+    got = components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint"), at_once=at_once)
+    assert {r.node: r.root for r in got.collect()} == root and got.dtypes == [("node", "bigint"), ("root", "bigint")]
+    none = spark.createDataFrame([], "u bigint, v bigint")
+    assert components.connected_components(none, at_once=at_once).count() == 0

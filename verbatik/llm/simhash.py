@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import discard, materialize, rows_in
+from verbatik.llm.common import discard, in_files, materialize, rows_in
 from verbatik.llm.components import connected_components
 
 BITS = 64
@@ -55,6 +55,8 @@ SMALL = 32
 BROADCAST_IDS = 1_000_000
 #: Ids that occur more than once, up to so many, are kept apart; beyond, all rows are dealt by id.
 REPEATED_IDS = 1_000
+#: Links of near copies that are collected to find their groups; of more, groups are found round by round.
+LINKS_AT_ONCE = 200_000
 _FACTORS = np.random.Generator(np.random.Philox(key=7)).integers(1 << 62, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -461,9 +463,9 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [_signed(shingles(t, width)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    few = rows_in(ids) <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, s array<bigint>").dropDuplicates(["id"])
+    total = rows_in(ids)
+    wanted = docs.join(F.broadcast(ids) if total <= BROADCAST_IDS else ids, "id", "left_semi")
+    return in_files(wanted.mapInArrow(run, "id bigint, s array<bigint>").dropDuplicates(["id"]), total, 4_000)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -490,7 +492,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     sig = materialize(_signatures(rows, width), "near-signatures")
     heads = sig.groupBy("digest").agg(F.min_by(F.struct("id", "n", "fp"), "id").alias("r")).select("r.*")
-    heads = materialize(heads, "near-heads")
+    heads = materialize(in_files(heads, rows_in(sig), 8_000), "near-heads")
     copies = sig.select("id").join(heads.select("id"), "id", "left_anti").distinct()
     real = heads.where("n > 0")
     total = rows_in(real)
@@ -509,10 +511,11 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not some_parts:
             break
         keys = _wide_keys(real.join(gone, "id", "left_anti"), Plan(*map(tuple, zip(*some_parts, strict=True))))
-        left, before = materialize(_repeated_keys(keys), "near-keys"), None
+        left, before = materialize(in_files(_repeated_keys(keys), total * len(some_parts)), "near-keys"), None
+        in_left = rows_in(left)
         for turn in itertools.count():
             sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
-            sizes = materialize(sizes.select("key", "c"), "near-sizes")
+            sizes = materialize(in_files(sizes.select("key", "c"), in_left // 2), "near-sizes")
             most, more = sizes.agg(F.max("c"), F.coalesce(F.sum(F.when(F.col("c") > 2, F.col("c"))), F.lit(0))).first()
             if most is None:
                 break
@@ -522,24 +525,27 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if not last:
                 own = own.groupBy("key").agg(F.min_by("_l", F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("_l"))
             pairs = left.join(own.select("key", "_l.*"), "key").where(near)
-            pairs = materialize(pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct(), "near-pairs")
+            pairs = pairs.select(F.greatest("id", "_i").alias("u"), F.least("id", "_i").alias("v")).distinct()
+            pairs = materialize(in_files(pairs, in_left), "near-pairs")
             sets = materialize(_sets(rows, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), width), "near-sets")
-            found = materialize(_similar(pairs, sets, similarity), "near-links")
+            found = materialize(in_files(_similar(pairs, sets, similarity), rows_in(pairs), 20_000), "near-links")
             discard(sets)
             out = None
             if found.head(1):
-                out = materialize(connected_components(found).where("node != root").select(F.col("node").alias("id")), "near-gone")
+                linked = connected_components(found, at_once=LINKS_AT_ONCE).where("node != root").select(F.col("node").alias("id"))
+                out = materialize(in_files(linked, rows_in(found)), "near-gone")
                 gone = gone.union(out)
             if not last:  # buckets of two are done with
                 rest = left.join(sizes.where("c > 2").select("key"), "key", "left_semi")
-                fewer = materialize((rest if out is None else rest.join(out, "id", "left_anti")).select(*left.columns), "near-keys")
+                rest = rest if out is None else rest.join(out, "id", "left_anti")
+                fewer = materialize(in_files(rest.select(*left.columns), in_left), "near-keys")
                 discard(left)
-                left = fewer
+                left, in_left = fewer, rows_in(fewer)
             discard(sizes)
             if last:
                 break
         discard(left)
-    out = materialize(gone.distinct(), "near-gone")
+    out = materialize(in_files(gone.distinct(), rows_in(gone)), "near-gone")
     for x in (sig, heads):
         discard(x)
     return without(docs, out, id_col)
