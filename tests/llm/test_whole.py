@@ -9,7 +9,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import components, knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
+from verbatik.llm import ann, components, knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -157,3 +157,34 @@ def test_components_settled_on_the_driver(spark, at_once):
     assert {r.node: r.root for r in got.collect()} == root and got.dtypes == [("node", "bigint"), ("root", "bigint")]
     none = spark.createDataFrame([], "u bigint, v bigint")
     assert components.connected_components(none, at_once=at_once).count() == 0
+
+
+def test_copies_of_queries_are_searched_once(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    distinct = rng.standard_normal((50, 8)).astype(np.float32)
+    rows = [(i, distinct[i % 50].tolist()) for i in range(2000)] + [(40, distinct[40].tolist())] * 30  # a row that is repeated
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    search = ann._by_cell
+
+    def counted(index, k):
+        inner = search(index, k)
+
+        def run(batches):
+            seen = list(batches)
+            n = sum(sum(b.column("kind").to_pylist()) for b in seen)
+            (tmp_path / str(random.SystemRandom().random())).write_text(str(n))
+            return inner(iter(seen))
+
+        return run
+
+    monkeypatch.setattr(ann, "_by_cell", counted)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 5  # ids divisible by 20 have 5 of the 50 vectors
+    assert len(got) == 100
+    score = distinct.astype(np.float64) @ distinct.astype(np.float64).T
+    for q, some in got.items():
+        best = sorted(((-score[q % 50, i % 50], i) for i in range(2000) if i != q))[:20]
+        assert [i for i, _ in some] == [i for _, i in best]
+        assert np.allclose([s for _, s in some], [-x for x, _ in best], rtol=0, atol=1e-9)
