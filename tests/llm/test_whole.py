@@ -1,15 +1,17 @@
 """Operators on cases that a part of the job would miss."""
 
 import random
+import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
-from verbatik.llm import ann, components, knn_quality, licenses, quality_rules, queries, sampling, simhash  # noqa: E402
+from verbatik.llm import ann, common, components, knn_quality, licenses, packing, quality_rules, queries, sampling, simhash, suffix  # noqa: E402
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -188,3 +190,26 @@ def test_copies_of_queries_are_searched_once(spark, monkeypatch, tmp_path):
         best = sorted(((-score[q % 50, i % 50], i) for i in range(2000) if i != q))[:20]
         assert [i for i, _ in some] == [i for _, i in best]
         assert np.allclose([s for _, s in some], [-x for x, _ in best], rtol=0, atol=1e-9)
+
+
+def test_texts_are_taken_block_by_block():
+    """A function that gets 1,200 rows in one batch holds the texts of 500 of them, and returns every row."""
+    spans = pa.array([[{"lo": 0, "hi": 2}]] * 1200, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array([f"text {i}" for i in range(1200)]), spans], ["doc_id", "_t", "spans"])
+    out = list(suffix._cut(200)([batch]))
+    assert max(b.num_rows for b in out) <= 500
+    assert [(r["doc_id"], r["kept"]) for b in out for r in b.to_pylist()] == [(i, f"xt {i}".encode()) for i in range(1200)]
+    assert list(suffix._cut(200)([batch.slice(0, 0)])) == []
+
+
+def test_idle_worker_forgets_words(monkeypatch):
+    """What a worker remembers goes when no task uses it for a while, but not while one does."""
+    monkeypatch.setattr(common, "IDLE_S", 0.2)
+    monkeypatch.setattr(packing, "_WORKER", {"path": "words"})
+    common.forget_when_idle("tokenizers", packing._WORKER)
+    common.in_use("tokenizers")
+    time.sleep(0.5)
+    assert packing._WORKER
+    common.forget_when_idle("tokenizers", packing._WORKER)
+    time.sleep(0.6)
+    assert not packing._WORKER

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verbatik.llm.common import blocks
+
 #: Labelled rows that the space and the votes are learned from; chosen by hash of the id.
 SAMPLE_ROWS = 4096
 DIMENSIONS = 48
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows: int = SAMP
     sample = sample.groupBy("i", "y").agg(F.max("t").alias("t"))
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             counts = [term_counts(t) for t in b.column("t").to_pylist()]
             used = [np.flatnonzero(c) for c in counts]
             found = [pa.array([x.astype("<u2").tobytes() for x in used], pa.binary()), pa.array([c[x].astype("<f4").tobytes() for c, x in zip(counts, used, strict=True)], pa.binary())]
@@ -165,10 +167,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["doc_id", *(f"_c{i}" for i in range(len(carry)))]
 
     def run(batches):
-        for b in batches:
-            # block by block, so that only a block's texts are held as Python strings
-            scores = [shared.value.score(b.column("_t").slice(at, BLOCK_ROWS).to_pylist()) for at in range(0, b.num_rows, BLOCK_ROWS)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], [*names, "score"])
+        for b in blocks(batches, BLOCK_ROWS):
+            scores = shared.value.score(b.column("_t").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
 
     schema = T.StructType([rows.schema[c] for c in names]).add("score", T.DoubleType())
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import materialize, rows_in, shards
+from verbatik.llm.common import blocks, forget_when_idle, in_use, materialize, rows_in, shards
 
 #: Words whose ids one Python worker remembers; the oldest half goes when it is full.
 CACHE_WORDS = 1_000_000
@@ -93,8 +93,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        in_use("tokenizers")
         enc = tokenizer(tokenizer_path)
-        for b in batches:
+        for b in blocks(batches):
             rows = []
             for i, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 ids += end
@@ -104,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        forget_when_idle("tokenizers", _WORKER)
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatik.llm.common import discard, in_files, materialize, rows_in
+from verbatik.llm.common import blocks, discard, in_files, materialize, rows_in
 from verbatik.llm.components import connected_components
 
 BITS = 64
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             fp = [fingerprint(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -407,14 +407,12 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """id, number and digest of the different shingles, and the wide fingerprint, from id and t."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [shingles(t, width) for t in part.column("t").to_pylist()]
-                fps = np.concatenate([_signed(wide_fingerprint(s)) for s in sets])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WIDE_WORDS, pa.int32()), pa.array(fps))
-                cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *cols], ["id", "n", "digest", "fp"])
+        for part in blocks(batches, 256):
+            sets = [shingles(t, width) for t in part.column("t").to_pylist()]
+            fps = np.concatenate([_signed(wide_fingerprint(s)) for s in sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WIDE_WORDS, pa.int32()), pa.array(fps))
+            cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *cols], ["id", "n", "digest", "fp"])
 
     return docs.mapInArrow(run, "id bigint, n int, digest binary, fp array<bigint>")
 
@@ -459,7 +457,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id and the hashes of the shingles, of the rows (id, t) whose id is among ids."""
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             sets = [_signed(shingles(t, width)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verbatik.llm.common import materialize
+from verbatik.llm.common import blocks, materialize
 
 LENGTH = 200
 GRAM = 64
@@ -210,7 +210,7 @@ def _find_segments(length: int, gram: int):
 
     def run(batches):
         kids, found, n = [], [], 0
-        for batch in batches:
+        for batch in blocks(batches):
             for kid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = segments((text or "").encode("utf-8", "replace"), length, gram)
                 if s.shape[1]:
@@ -238,7 +238,7 @@ def _fetch(length: int, gram: int):
     names = ["key", "kid", "first", "back", "known", "bytes"]
 
     def run(batches):
-        for batch in batches:
+        for batch in blocks(batches):
             rows = []
             for text, kid, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8", "replace")
@@ -301,7 +301,7 @@ def _resolve(length: int):
 
     def run(batches):
         waiting: list = []
-        for batch in batches:
+        for batch in blocks(batches, SORT_ROWS):
             waiting += zip(*(c.to_pylist() for c in batch.columns), strict=True)
             if len(waiting) >= SORT_ROWS:
                 cut = len(waiting)
@@ -323,7 +323,7 @@ def _paired(rows: list) -> list:
 
 def _cut(length: int):
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             out = []
             for text, spans in zip(b.column("_t").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
