@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from verbatik.llm.common import blocks, forget_when_idle, in_use, materialize, rows_in, shards
 
 #: Words whose ids one Python worker remembers; the oldest half goes when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: A slot table of more rows than this isn't broadcast.
 BROADCAST_SLOTS = 100_000
 #: Lower-case Latin letters, then punctuation other than an apostrophe.
